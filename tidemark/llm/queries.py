@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.leaks import find_leaks, leak_shares
+from tidemark.llm.neighbours import similar_pairs, top_similar
 from tidemark.llm.packing import pack
 from tidemark.llm.split import split_oversized
 from tidemark.llm.tokens import token_count
 from tidemark.session import cut_lineage, table
 
 CONTAINER = 2048
+NEIGHBOURS = 5
+LEAST_SIMILARITY = 0.85
 
 
 def oversized_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,11 +46,34 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers(spark, sf_dir).groupBy("container").agg(F.count("*").alias("n_pieces"), F.sum("tokens").alias("tokens"))
 
 
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar of every vector, with their places and similarities, where at least 0.85."""
+    return top_similar(table(spark, sf_dir, "chunk_vectors"), NEIGHBOURS, LEAST_SIMILARITY)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(p5_neighbours(spark, sf_dir), LEAST_SIMILARITY)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pages hold how much of each item, in tenths of its passage."""
+    shares = leak_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return shares.groupBy("item_id", F.floor(F.col("share") * 10).cast("int").alias("tenths")).agg(F.count("*").alias("n_pages"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p5_found": p5_found,
+    "p5_neighbours": p5_neighbours,
     "p7_found": p7_found,
     "p7_containers": p7_containers,
+    "p8_found": p8_found,
+    "p8_by_item": p8_by_item,
 }
 
 _TOKENS = r"len(regexp_extract_all({}, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]'))"
