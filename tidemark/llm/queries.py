@@ -9,6 +9,7 @@ from tidemark.llm.leaks import find_leaks, leak_shares
 from tidemark.llm.neighbours import similar_pairs, top_similar
 from tidemark.llm.packing import pack
 from tidemark.llm.split import split_oversized
+from tidemark.llm.subjects import assign_subjects
 from tidemark.llm.tokens import token_count
 from tidemark.session import cut_lineage, table
 
@@ -65,6 +66,19 @@ def p8_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.groupBy("item_id", F.floor(F.col("share") * 10).cast("int").alias("tenths")).agg(F.count("*").alias("n_pages"))
 
 
+def page_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject: pages, and sentences on the subject within them."""
+    return page_subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("n_pages"), F.sum("sentences").alias("n_sentences"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -74,6 +88,8 @@ QUERIES = {
     "p7_containers": p7_containers,
     "p8_found": p8_found,
     "p8_by_item": p8_by_item,
+    "p9_found": p9_found,
+    "p9_composition": p9_composition,
 }
 
 _TOKENS = r"len(regexp_extract_all({}, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]'))"

@@ -19,6 +19,8 @@ DROPPED = b"*_~`'\\"
 _TABLE = bytes(
     c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)
 )
+#: The same, with line ends kept.
+keep_lines = bytes(10 if c == 10 else b for c, b in enumerate(_TABLE))
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 #: Bytes worked on at once.
 SLICE = 1 << 20
@@ -54,6 +56,13 @@ class _Folding(dict):
 _FOLD = _Folding()
 
 
+def fold_text(text: str) -> bytes:
+    """A text's bytes without accents, invisible or lookalike characters."""
+    if not text.isascii():
+        text = text.translate(_FOLD)
+    return text.encode("utf-8", "ignore")
+
+
 def plain_words(text: str | None) -> bytes:
     """A text as lower-case words parted by spaces: no markup, entities, accents, invisible or lookalike characters."""
     if not text:
@@ -62,9 +71,7 @@ def plain_words(text: str | None) -> bytes:
         text = MARKUP.sub("", text)
     if "&" in text:
         text = ENTITY.sub(_entity, text)
-    if not text.isascii():
-        text = text.translate(_FOLD)
-    return text.encode("utf-8", "ignore").translate(_TABLE, DROPPED)
+    return fold_text(text).translate(_TABLE, DROPPED)
 
 
 def _powers(n: int, base: int) -> np.ndarray:
