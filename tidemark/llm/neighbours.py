@@ -24,8 +24,11 @@ DIM = 64
 SAMPLE = 32_768
 #: Most centroids of a half.
 MOST_CENTROIDS = 4096
-#: Cells that a query visits.
+#: Cells that a query visits at most, and how much farther than the nearest one a cell may be, in squared distance.
 VISITS = 16
+MARGIN = 0.05
+#: Root of the rows expected in a cell.
+ROOT_OF_CELL = 3.0
 #: Rows aimed at for a group of cells, searched by one task; a cell expected to hold more gets an index of its own.
 GROUP_ROWS = 8192
 #: Pairs compared at once.
@@ -61,7 +64,7 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) ->
 def fit(sample: np.ndarray, rows: float, rng: np.random.Generator, taken: list[int]) -> Index:
     """An index for about so many rows, of which ``sample`` is a fair part. taken: cells and groups numbered so far."""
     half = DIM // 2
-    k = int(np.clip(rows**0.5 / 1.5, 1, min(MOST_CENTROIDS, max(1, len(sample) // 4))))
+    k = int(np.clip(rows**0.5 / ROOT_OF_CELL, 1, min(MOST_CENTROIDS, max(1, len(sample) // 4))))
     first, second = k_means(sample[:, :half], k, rng), k_means(sample[:, half:], k, rng)
     groups = int(np.clip(rows / GROUP_ROWS, 1, len(first)))
     group = nearest(first, k_means(first, groups, rng)).argmin(1)
@@ -77,9 +80,10 @@ def fit(sample: np.ndarray, rows: float, rng: np.random.Generator, taken: list[i
 
 
 def cells_by_heap(a: list[float], b: list[float], most: int) -> list[tuple[int, int]]:
-    """Pairs of places in two ascending lists in the order of their sums."""
+    """Pairs of places in two ascending lists in the order of their sums, as far as the margin."""
+    farthest = a[0] + b[0] + MARGIN
     heap, out = [(a[0] + b[0], 0, 0)], []
-    while heap and len(out) < most:
+    while len(out) < most and heap and heap[0][0] <= farthest:
         _, i, j = heappop(heap)
         out.append((i, j))
         if j + 1 < len(b):
@@ -230,7 +234,8 @@ def top_similar(vectors: DataFrame, k: int = 5, least: float = -1.0, visited: in
     groups = classes.mapInPandas(route, ROUTED).groupBy("grp")
     found = groups.applyInPandas(lambda pdf: search_group(pdf, k + 1, least), "a bigint, b bigint, similarity double")
     itself = firsts.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("similarity"))
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).distinct().unionByName(itself)
+    ways = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = found.select(F.explode(ways).alias("w"), "similarity").select("w.a", "w.b", "similarity").distinct().unionByName(itself)
     by_rank = Window.partitionBy("a").orderBy(F.col("similarity").desc(), "other")
     near = (
         both.join(heads.select(F.col("cls").alias("b"), F.col("chunk_id").alias("other")), "b")
