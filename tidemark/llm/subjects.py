@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.times import neutral
 from tidemark.llm.words import DROPPED, SLICE, fold_text, hash_words, keep_lines
+from tidemark.session import cut_lineage
 
 #: Labelled pages, at most about so many, from which rules are mined. All pages are scored.
 LABELLED = 4000
 #: Least share of the sentences that hold a rule's words and subject.
-SUPPORT = 0.0006
+SUPPORT = 0.0002
 LEAST_COUNT = 3
 #: Least confidence over the subject's share of all sentences.
 LIFT = 1.6
@@ -38,11 +39,11 @@ LABEL = "subject:"
 
 def page_lines(text: Column) -> Column:
     """The sentences of a page, one a line; front matter, code, shortcodes, tags, headings and table rules are left out."""
-    t = F.regexp_replace(text, r"\r\n?", "\n")
+    t = F.when(text.contains("\r"), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
     t = F.regexp_replace(t, r"(?s)\A\s*---\n.*?\n---\n|```.*?(?:```|\z)|\{\{.*?\}\}", "\n")
-    t = F.regexp_replace(t, r"<[^<>]{1,200}>", "")
-    t = F.regexp_replace(t, r"(?m)^[ \t]*#.*$|^[ \t]*(?:[-*+]|\d+[.)])[ \t]+|\|", "\n")
-    return F.regexp_replace(t, r"(?<=[.!?…][*_\"')]{0,3})[ \t\n]+(?=[^\p{Ll}\s])|\n\s*\n", "\n")
+    t = F.when(t.contains("<"), F.regexp_replace(t, r"<[^<>]{1,200}>", "")).otherwise(t)
+    t = F.regexp_replace(t, r"(?m)^[ \t]*(?:#.*$|(?:[-*+]|\d+[.)])[ \t]+)|\|", "\n")
+    return F.regexp_replace(t, r"([.!?…][*_\"')]{0,3})[ \t]+(?=[^\p{Ll}\s])", "$1\n")
 
 
 def words_of(line: Column) -> Column:
@@ -58,50 +59,73 @@ def clean_labels(labels: DataFrame, areas: DataFrame) -> DataFrame:
 
 
 def transactions(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """(doc_id, n, items): for each sentence of the labelled pages its words and its page's subjects."""
+    """(doc_id, n, lang, subjects, words): each sentence of the labelled pages with its page's subjects."""
     pages = labels.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.concat(F.lit(LABEL), "subject"))).alias("subjects"))
     share = min(1.0, most / max(1, pages.count()))
     picked = pages.where(F.pmod(F.xxhash64("doc_id", F.lit("rules")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    lines = documents.join(picked, "doc_id").select("doc_id", "subjects", F.posexplode(F.split(page_lines(F.col("text")), "\n")).alias("n", "line"))
+    lang = F.coalesce(F.substring(neutral("lang"), 1, 2), F.lit("?"))
+    lines = documents.join(picked, "doc_id").select("doc_id", "subjects", lang.alias("lang"), F.posexplode(F.split(page_lines(F.col("text")), "\n")).alias("n", "line"))
     items = lines.withColumn("words", words_of(F.col("line"))).where(F.size("words") > 2)
-    return items.select("doc_id", "n", "subjects", "words")
+    return cut_lineage(items.select("doc_id", "n", "lang", "subjects", "words"))  # a bounded sample, read many times
+
+
+def expected_shares(sentences: DataFrame) -> DataFrame:
+    """(lang, s, share): each subject's share of the sentences in a language, drawn to its share of all."""
+    pairs = sentences.select("lang", F.explode("subjects").alias("s"))
+    n_all = sentences.count()
+    every = pairs.groupBy("s").agg((F.count("*") / max(1, n_all)).alias("overall"))
+    langs = sentences.groupBy("lang").agg(F.count("*").alias("of_lang"))
+    both = pairs.groupBy("lang", "s").agg(F.count("*").alias("both"))
+    grid = langs.join(F.broadcast(every))  # languages by subjects, both short lists
+    filled = grid.join(both, ["lang", "s"], "left").fillna(0, ["both"])
+    return filled.select("lang", "s", ((F.col("both") + PRIOR_COUNT * F.col("overall")) / (F.col("of_lang") + PRIOR_COUNT)).alias("share"))
 
 
 def telling_words(sentences: DataFrame, least: int) -> DataFrame:
-    """(word): frequent words of which some subject has clearly more than its share."""
-    each = sentences.select(F.explode("words").alias("word"), "subjects")
-    n_word = each.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    """(word, s, expected): frequent words of which some subject has clearly more than its share, and every subject's share.
+
+    A subject's expected share is that in the languages of the word's sentences, so that the common words of a
+    language in which one subject prevails don't speak for it. Of words that always occur together one stands for all.
+    """
+    each = sentences.select(F.explode("words").alias("word"), "subjects", "lang", F.struct("doc_id", "n").alias("at"))
+    n_word = each.groupBy("word").agg(F.count("*").alias("n_word"), F.min("at").alias("first"), F.max("at").alias("last")).where(F.col("n_word") >= least)
+    shares = expected_shares(sentences)
+    by_lang = each.groupBy("word", "lang").agg(F.count("*").alias("m")).join(n_word.select("word", "n_word"), "word")
+    due = by_lang.join(F.broadcast(shares), "lang").groupBy("word", "s").agg((F.sum(F.col("m") * F.col("share")) / F.max("n_word")).alias("expected"))
     n_both = each.select("word", F.explode("subjects").alias("s")).groupBy("word", "s").agg(F.count("*").alias("both"))
-    shares = sentences.select(F.explode("subjects").alias("s")).groupBy("s").agg(F.count("*").alias("of_s"))
-    total = sentences.agg(F.count("*").alias("total"))
-    joined = n_both.join(n_word, "word").join(F.broadcast(shares), "s").join(F.broadcast(total))  # a row per subject, and a single row
-    expected = F.col("n") * F.col("of_s") / F.col("total")
-    clear = (F.col("both") >= LIFT * expected) & (F.col("both") - expected >= 2 * F.sqrt(expected)) & (F.col("both") >= LEAST_COUNT)
-    return joined.where(clear).select("word").distinct()
+    joined = due.join(n_both, ["word", "s"], "left").fillna(0, ["both"]).join(n_word, "word")
+    chance = F.col("n_word") * F.col("expected")
+    clear = (F.col("both") >= LIFT * chance) & (F.col("both") - chance >= 2 * F.sqrt(chance)) & (F.col("both") >= LEAST_COUNT)
+    known = joined.withColumn("clear", clear)
+    one = known.where("clear").groupBy("word").agg(F.first("n_word").alias("n_word"), F.first("first").alias("first"), F.first("last").alias("last"))
+    one = one.groupBy("n_word", "first", "last").agg(F.min("word").alias("word")).select("word")
+    return known.join(one, "word", "left_semi").select("word", "s", "expected")
 
 
 def mine_rules(sentences: DataFrame) -> DataFrame:
-    """(words, subject, weight): pruned rules, weight being the log of the drawn confidence over the subject's share."""
+    """(words, subject, weight): pruned rules, weight being the log of the drawn confidence over the expected share."""
     total = sentences.count()
     least = max(LEAST_COUNT, SUPPORT * total)
-    telling = telling_words(sentences, int(least))
+    telling = cut_lineage(telling_words(sentences, int(least)))
     kept = (
         sentences.select("doc_id", "n", F.explode("words").alias("word"))
-        .join(telling, "word")
+        .join(telling.select("word").distinct(), "word")
         .groupBy("doc_id", "n")
         .agg(F.collect_list("word").alias("words"))  # the words of one sentence
     )
     baskets = kept.join(sentences.select("doc_id", "n", "subjects"), ["doc_id", "n"]).select(F.concat("words", "subjects").alias("items"))
+    baskets = cut_lineage(baskets)
     n = max(1, baskets.count())
     frequent = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n), minConfidence=1.0).fit(baskets).freqItemsets
     of = lambda keep: F.sort_array(F.filter("items", lambda x: x.startswith(LABEL) if keep else ~x.startswith(LABEL)))
     sets = frequent.select(of(False).alias("words"), of(True).alias("subjects"), "freq")
-    bodies = sets.where("size(words) > 0 and size(subjects) = 0").select("words", F.col("freq").alias("n"))
-    shares = sentences.select(F.explode("subjects").alias("s")).groupBy("s").agg((F.count("*") / total).alias("share"))
-    heads = sets.where("size(words) > 0 and size(subjects) = 1").select("words", F.col("subjects")[0].alias("s"), F.col("freq").alias("both"))
-    rules = heads.join(bodies, "words").join(F.broadcast(shares), "s")
+    sets = cut_lineage(sets.where("size(words) > 0 and size(subjects) <= 1"))
+    bodies = sets.where("size(subjects) = 0").select("words", F.col("freq").alias("n"))
+    heads = sets.where("size(subjects) = 1").select("words", F.col("subjects")[0].alias("s"), F.col("freq").alias("both"))
+    due = heads.select("words", "s", F.explode("words").alias("word")).join(telling, ["word", "s"]).groupBy("words", "s").agg(F.max("expected").alias("share"))
+    rules = heads.join(bodies, "words").join(due, ["words", "s"])
     drawn = (F.col("both") + PRIOR_COUNT * F.col("share")) / (F.col("n") + PRIOR_COUNT)
-    rules = rules.withColumn("confidence", drawn).where(F.col("confidence") >= LIFT * F.col("share"))
+    rules = cut_lineage(rules.withColumn("confidence", drawn).where(F.col("confidence") >= LIFT * F.col("share")))
     parts = rules.where("size(words) > 1").select("words", "s", "confidence", F.explode("words").alias("left_out"))
     parts = parts.withColumn("part", F.array_remove("words", F.col("left_out")))
     smaller = rules.select(F.col("words").alias("part"), "s", F.col("confidence").alias("part_confidence"))
@@ -190,14 +214,14 @@ def page_counts(book: RuleBook, texts: list[str]) -> tuple[np.ndarray, np.ndarra
 def assign_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, most_labelled: int = LABELLED, share: float = SHARE) -> DataFrame:
     """Rows (doc_id, subject, sentences, share): the subjects of every page and how much of it is on them.
 
-    documents: doc_id, text. labels: doc_id, subject, spelt anyhow, wrong, repeated or of pages that aren't there.
+    documents: doc_id, text, lang (may be absent). labels: doc_id, subject, spelt anyhow, wrong, repeated or of pages that aren't there.
     areas: subject, a short fixed list. Every page gets at least one subject: a page without a sentence on any takes
     that with the most evidence in all, and failing that (as for a null or empty text) the most frequent
     of the rules. Repeated pages give repeated rows. Without areas, documents or usable labels there are no rows.
     """
     spark = documents.sparkSession
     clean = clean_labels(labels, areas)
-    sentences = transactions(documents.select("doc_id", "text"), clean, most_labelled)
+    sentences = transactions(documents.select("doc_id", "text", "lang" if "lang" in documents.columns else F.lit(None).cast("string").alias("lang")), clean, most_labelled)
     schema = "doc_id bigint, subject string, sentences int, share double"
     rules = mine_rules(sentences).toPandas() if sentences.take(1) else pd.DataFrame({"words": [], "subject": [], "weight": []})  # bounded by the sample and the support
     if not len(rules):
