@@ -217,9 +217,10 @@ def top_similar(vectors: DataFrame, k: int = 5, least: float = -1.0, visited: in
     heads = members.withColumn("nth", F.row_number().over(Window.partitionBy("cls").orderBy("chunk_id"))).where(F.col("nth") <= k + 1).drop("nth")
     firsts = members.groupBy("cls").agg(F.min("chunk_id").alias("chunk_id"))
     classes = known.join(firsts.select("chunk_id"), "chunk_id", "left_semi").select("cls", F.col("chunk_id").alias("name_"), "embedding")
-    rows = firsts.count()
+    rows = vectors.count()  # of the raw table, so that nothing is shuffled for it
     share = min(1.0, SAMPLE / max(1, rows))
-    picked = known.where(F.pmod(F.xxhash64("cls", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20))).select("embedding", "cls")
+    few = vectors.where(F.pmod(F.xxhash64("chunk_id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    picked = usable_vectors(few)
     sample = picked.dropDuplicates(["cls"]).select("embedding").toPandas().embedding  # about SAMPLE rows
     if not len(sample):
         return spark.createDataFrame([], "chunk_id string, place int, other string, similarity double")
