@@ -1,5 +1,5 @@
 """Registered queries and the SQL each one is checked against."""
 
-from tidemark.plans import lifecycle
+from tidemark.plans import ledger, lifecycle
 
-MODULES = (lifecycle,)
+MODULES = (ledger, lifecycle)
