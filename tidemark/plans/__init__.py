@@ -1,5 +1,5 @@
 """Registered queries and the SQL each one is checked against."""
 
-from tidemark.plans import ledger, lifecycle
+from tidemark.plans import corpus, ledger, lifecycle
 
-MODULES = (ledger, lifecycle)
+MODULES = (corpus, ledger, lifecycle)
