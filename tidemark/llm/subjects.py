@@ -31,7 +31,10 @@ GAIN = 0.04
 #: Sentences by which a rule's confidence is drawn to the subject's share.
 PRIOR_COUNT = 2.0
 #: Least evidence, as a log ratio, for a sentence to be on a subject.
-EVIDENCE = 0.8
+EVIDENCE = 1.3
+#: Rounds in which a sentence's evidence is weighed with the rest of its page, and the sentences added to each subject for it.
+ROUNDS = 1
+PAGE_PRIOR = 2.0
 #: Share of a page's sentences on any subject that makes a subject the page's.
 SHARE = 0.25
 LABEL = "subject:"
@@ -192,8 +195,13 @@ def page_counts(book: RuleBook, texts: list[str]) -> tuple[np.ndarray, np.ndarra
         page_of_line = np.searchsorted(np.cumsum([len(b) + 1 for b in held]), np.concatenate(([0], ends + 1)), "right")
         e = book.evidence(line, words, len(ends) + 1)
         on = e.max(1) >= EVIDENCE
-        n = np.zeros((len(held), len(book.subjects)))
-        np.add.at(n, (page_of_line[on], e[on].argmax(1)), 1)
+        page, e_on = page_of_line[on], e[on]
+        chosen = e_on.argmax(1)
+        for _ in range(1 + ROUNDS):
+            n = np.zeros((len(held), len(book.subjects)))
+            np.add.at(n, (page, chosen), 1)
+            prior = np.log((n + PAGE_PRIOR) / (n.sum(1, keepdims=True) + PAGE_PRIOR * n.shape[1]))
+            chosen = np.where(e_on > 0, e_on + prior[page], -np.inf).argmax(1)
         s = np.zeros_like(n)
         np.add.at(s, page_of_line, e)
         counts.append(n)
