@@ -72,9 +72,8 @@ def hash_ranked_sample(spark, sf_dir):
 
 
 def uuid5_ids(spark, sf_dir):
-    """Each stored point with the id that its chunk should have."""
-    made = identity.uuid5(F.col("chunk_id"))
-    return table(spark, sf_dir, "vector_copy").select("row_seq", made.alias("made_id"), (made == F.col("point_id")).alias("agrees"))
+    """Each stored point with the id derived from its chunk."""
+    return table(spark, sf_dir, "vector_copy").select("row_seq", identity.uuid5(F.col("chunk_id")).alias("point_id"))
 
 
 def doc_paths(spark, sf_dir):
@@ -177,6 +176,8 @@ SQL = {
         FROM documents) WHERE s <> text""",
     "hash_bucket": f"SELECT DISTINCT doc_id, {_BUCKET.format(h="sha256('mode-a-update:' || doc_id)")} update_bucket, {_BUCKET.format(h="sha256('mode-d-rename:' || doc_id)")} rename_bucket FROM doc_versions",
     "hash_ranked_sample": f"SELECT doc_id FROM (SELECT DISTINCT doc_id FROM doc_versions) ORDER BY sha256('sample:' || doc_id) LIMIT {SAMPLE}",
+    "uuid5_ids": f"""SELECT row_seq, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ('0x' || substr(h, 17, 1))::INT % 4 + 1, 1)
+        || substr(h, 18, 3) || '-' || substr(h, 21, 12) point_id FROM (SELECT row_seq, sha1(unhex('{identity.POINT_NAMESPACE.replace("-", "")}') || encode(chunk_id)) h FROM vector_copy)""",
     "doc_paths": r"SELECT DISTINCT doc_id, regexp_replace(regexp_replace(source_path, '^(?:.*/)?content/handbook/', ''), '([^/])\.[^./]*$', '\1') made_id FROM ledger_documents",
     "paragraph_units": _BODY + rf"SELECT doc_id, len(list_filter(string_split_regex(body, '\n\s*\n'), lambda p: length(regexp_replace(p, '{_WS}', '', 'g')) > 0)) n_paragraphs FROM cleaned",
     "knn_topk": _ALL + f"SELECT * FROM ranked WHERE rank <= {K}",
