@@ -85,8 +85,10 @@ def greedy_cuts(table: DataFrame, rounds: int) -> DataFrame:
     """
     reached = table.where("node = 0").select(*ITEM, "node")
     leap = table.select(*ITEM, "node", "next")
-    for _ in range(rounds):
+    for k in range(rounds):
         reached = cut_lineage(reached.unionByName(reached.join(leap, [*ITEM, "node"]).select(*ITEM, F.col("next").alias("node"))).distinct())
+        if k == rounds - 1:
+            break
         leap = leap.where("next > node")
         then = leap.select(*ITEM, F.col("node").alias("next"), F.col("next").alias("after"))
         leap = cut_lineage(leap.join(then, [*ITEM, "next"], "left").select(*ITEM, "node", F.coalesce("after", "next").alias("next")))
