@@ -65,7 +65,7 @@ def chunk(docs: DataFrame, key: str, text: str, most: int = MAX_TOKENS, overlap:
         return counts.map(lambda n: pack_windows(n, most, overlap))
 
     once = windows.asNondeterministic()  # or the optimizer would copy it into a filter that can't run Python
-    sized = docs.select(key, units(F.col(text), most).alias("u")).where(F.size("u") > 0)
+    sized = docs.select(key, units(F.col(text), most).alias("u"))
     found = sized.withColumn("w", once(F.transform("u", count_tokens)))
     made = found.select(key, "u", F.posexplode("w").alias("ordinal", "s"))
     body = F.array_join(F.slice("u", F.col("s.i") + 1, F.col("s.j") - F.col("s.i")), "\n\n")

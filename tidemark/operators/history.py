@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Snapshots per bitmap word: two bits of a bigint stay free, so that no addition below can overflow.
 BITS = 62
 ALL = (1 << BITS) - 1
+#: Most common snapshots whose numbers are broadcast; more are joined by shuffle.
+MOST_SNAPSHOTS = 1_000_000
 
 
 def _bit(n: Column) -> Column:
@@ -36,7 +38,8 @@ def presence_bitmaps(events: DataFrame, common_snapshots: bool, span: str) -> Da
     if common_snapshots:
         known = spanned.select("span", "at").distinct()
         slots = known.withColumn("slot", F.row_number().over(Window.partitionBy("span").orderBy("at")) - 1)
-        spanned = spanned.join(slots, ["span", "at"])
+        # few snapshots hold all rows, so a shuffle by snapshot would be all hot keys
+        spanned = spanned.join(F.broadcast(slots) if known.count() <= MOST_SNAPSHOTS else slots, ["span", "at"])
     else:
         spanned = spanned.withColumn("slot", F.row_number().over(Window.partitionBy("entity", "span").orderBy("at")) - 1)
     bit = F.col("slot") % BITS
