@@ -8,8 +8,9 @@ as the longest text has doublings.
 from __future__ import annotations
 
 import math
+import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import TOKEN, spaced_tokens, token_count
@@ -23,13 +24,22 @@ LEEWAY = 20
 # Shortenings whose full stop ends no sentence.
 SHORTENINGS = ("e.g", "i.e", "no", "approx", "etc", "vs", "cf", "fig", "dr", "mr", "mrs", "ms", "st", "inc", "bzw", "z.b", "p. ej", "ca")
 
-_NOT_SHORT = "".join(rf"(?<!\b{s.replace('.', chr(92) + '.')}\.[ \t]{{1,3}})" for s in SHORTENINGS)
-#: Zero-width places after which a new sentence, line or paragraph begins.
-BOUNDARY = (
-    r"(?<=[。！？])(?=[^\s。！？])"
-    r"|(?<=[\r\n])(?=[^\s])"
-    r"|(?<=[.!?…][\"'”’)\]*_]{0,3}[ \t]{1,3})(?i:" + _NOT_SHORT + r")(?=[^\s\p{Ll}])"
-)
+#: Stands where a text may be cut, while boundaries are looked for; a text's own is read as its neighbour, one token like it.
+MARK, NEIGHBOUR = "\ue000", "\ue001"
+
+
+def marked(text: Column) -> Column:
+    """text with a mark wherever a new sentence, line or paragraph begins.
+
+    Every pattern starts at the sign that ends a sentence or line, so that nothing else is tried at other places.
+    """
+    short = "|".join(re.escape(s) for s in SHORTENINGS)
+    t = F.translate(text, MARK, NEIGHBOUR)
+    t = F.regexp_replace(t, r"([.!?…][\"'”’)\]*_]{0,3}[ \t]{1,3})(?=[^\s\p{Ll}])", f"$1{MARK}")
+    t = F.regexp_replace(t, rf"(?i)(?<![\p{{L}}\p{{N}}])((?:{short})\.[ \t]{{1,3}}){MARK}", "$1")
+    t = F.regexp_replace(t, r"([。！？])(?=[^\s。！？])", f"$1{MARK}")
+    return F.regexp_replace(t, r"([\r\n])(?=[^\s])", f"$1{MARK}")
+
 
 ITEM = ("item_kind", "item_id")
 
@@ -40,7 +50,7 @@ def boundaries(items: DataFrame, step: int) -> DataFrame:
     Between natural boundaries more than ``step`` tokens apart, forced ones stand every ``step`` tokens.
     Only counts leave the rows, no text.
     """
-    counts = F.transform(F.split("text", BOUNDARY), lambda s: F.regexp_count(s, F.lit(TOKEN)))
+    counts = F.transform(F.split(marked(F.col("text")), MARK), lambda s: F.regexp_count(s, F.lit(TOKEN)))
     each = items.select(*ITEM, F.posexplode(counts).alias("n", "tokens")).where("tokens > 0")
     node = F.sum("tokens").over(Window.partitionBy(*ITEM).orderBy("n"))
     ends = each.withColumn("node", node.cast("int"))
@@ -139,7 +149,8 @@ def oversized_cuts(oversized: DataFrame, limit: int = LIMIT, overlap: int = OVER
     if overlap + LEEWAY >= limit:
         raise ValueError("the overlap leaves no room within the limit")
     step = limit - overlap - LEEWAY
-    table = cut_lineage(successors(boundaries(oversized, step), limit, overlap, LEEWAY))
+    nodes = cut_lineage(boundaries(oversized, step))  # read four times below; the texts are split once
+    table = cut_lineage(successors(nodes, limit, overlap, LEEWAY))
     longest = table.agg(F.max("node")).first()[0] or 0
     # two cuts in a row pass more than a step, or the first would have reached farther
     rounds = math.ceil(math.log2(2 * longest / step + 3))
