@@ -62,7 +62,7 @@ def chunk(docs: DataFrame, key: str, text: str, most: int = MAX_TOKENS, overlap:
 
     @F.pandas_udf("array<struct<i:int,j:int>>")
     def windows(counts: pd.Series) -> pd.Series:
-        return counts.map(lambda n: pack_windows(n, most, overlap))
+        return counts.map(lambda n: [] if n is None else pack_windows(n, most, overlap))
 
     once = windows.asNondeterministic()  # or the optimizer would copy it into a filter that can't run Python
     sized = docs.select(key, units(F.col(text), most).alias("u"))
