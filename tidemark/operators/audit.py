@@ -79,3 +79,21 @@ def violations(df: DataFrame, table: str, rules: dict[str, Column]) -> DataFrame
     counts = df.agg(*[F.count(F.when(~F.coalesce(c, F.lit(True)), 1)).alias(f"r{i}") for i, c in enumerate(rules.values())])
     pairs = [F.struct(F.lit(name).alias("rule"), F.col(f"r{i}").alias("n_rows")) for i, name in enumerate(rules)]
     return counts.select(F.explode(F.array(*pairs)).alias("p")).select(F.lit(table).alias("table_name"), "p.rule", "p.n_rows")
+
+
+def retrievable(targets: DataFrame, hits: DataFrame, stored: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """(k, mode, n_targets, n_found): how many targets a search finds within the first k hits.
+
+    targets: id, doc_id, text_sha256. hits: query_id, rank, match_id. stored: id, doc_id, text_sha256. Modes: 'exact_id' the target itself,
+    'doc_scoped' any row of its document, 'content_scoped' any row of the same text.
+    """
+    t = targets.select(F.col("id").alias("query_id"), F.col("doc_id").alias("t_doc"), F.col("text_sha256").alias("t_text"))
+    met = hits.join(stored.select(F.col("id").alias("match_id"), "doc_id", "text_sha256"), "match_id")
+    each = t.join(met, "query_id", "left")
+    first = lambda c: F.min(F.when(c, F.col("rank")))
+    ranks = each.groupBy("query_id").agg(
+        first(F.col("match_id") == F.col("query_id")).alias("exact_id"), first(F.col("doc_id") == F.col("t_doc")).alias("doc_scoped"), first(F.col("text_sha256") == F.col("t_text")).alias("content_scoped")
+    )
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("at")) for m in ("exact_id", "doc_scoped", "content_scoped")])
+    long = ranks.select(F.explode(modes).alias("m")).select("m.*", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    return long.groupBy("k", "mode").agg(F.count("*").alias("n_targets"), F.sum((F.coalesce("at", F.lit(1 << 30)) <= F.col("k")).cast("int")).alias("n_found"))

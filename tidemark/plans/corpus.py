@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import identity, text, vectors
-from tidemark.operators.audit import canonical
+from tidemark.operators.audit import canonical, retrievable
 from tidemark.operators.chunker import chunk
+from tidemark.operators.embed import embed_by_hash
 from tidemark.operators.knn import exact_top_k, with_empty
 from tidemark.operators.ledger import hash_ranked
 from tidemark.session import table
@@ -16,6 +17,8 @@ K = 10
 EVERY = 20
 NEAR = 0.35
 SAMPLE = 200
+#: Write numbers are odd, so their halves stand for them.
+TWENTIETH = f"(id div 2) % {EVERY} = 0"
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,11 +129,28 @@ def self_match_control(spark, sf_dir):
 def retrievability(spark, sf_dir):
     """Stored vectors, those of every twentieth write, that a search with their own vector finds within 5 and within 10."""
     stored = table(spark, sf_dir, "chunk_vectors").where("embedding is not null").select(F.col("row_seq").alias("id"), "embedding")
-    hits = exact_top_k(stored.where(F.col("id") % EVERY == 0), stored, K, exclude_self=False)
+    hits = exact_top_k(stored.where(TWENTIETH), stored, K, exclude_self=False)
     own = hits.where("query_id = match_id")
     return own.agg(F.sum((F.col("rank") <= 5).cast("int")).alias("in_top_5"), F.count("*").alias("in_top_10"))
 
 
+def superseded_retrievable(spark, sf_dir):
+    """How far chunks of versions that are no longer the last are still found: by id, by document and by text."""
+    versions = table(spark, sf_dir, "chunks").where("chunk_id is not null").groupBy("chunk_id").agg(F.max("text_sha256").alias("text_sha256"), F.max("doc_id").alias("doc_id"), F.max("version_id").alias("version_id"))
+    last = versions.where("doc_id is not null").groupBy("doc_id").agg(F.max("version_id").alias("last_version"))
+    rows = table(spark, sf_dir, "chunk_vectors").select(F.col("row_seq").alias("id"), "chunk_id", "embedding").join(versions, "chunk_id")
+    old = rows.where(TWENTIETH).join(last, "doc_id").where("version_id < last_version")
+    return retrievable(old, exact_top_k(old, rows, K, exclude_self=False), rows)
+
+
+def embed_pages(spark, sf_dir):
+    """Hashed vectors of the cleaned pages, each text embedded once; of the vector its largest number and where it stands."""
+    pages = cleaned(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("body").alias("text"), F.sha2("body", 256).alias("text_sha256"))
+    made = embed_by_hash(pages)
+    top = F.array_max("embedding")
+    return made.select(F.col("chunk_id").cast("bigint").alias("doc_id"), F.round(top.cast("double"), 4).alias("largest"), F.array_position("embedding", top).cast("int").alias("position"))
+
+
 def vector_codec(spark, sf_dir):
     """Rows whose vector survives being written as a literal and read again."""
     rows = table(spark, sf_dir, "embeddings")
@@ -147,7 +167,7 @@ def label_similarity(spark, sf_dir):
 
 NAMES = (
     clean_documents, stub_filter, dup_clusters, exact_dup_excess, canonical_documents, front_matter_split, html_strip_pages, hash_bucket, hash_ranked_sample, uuid5_ids,
-    doc_paths, chunk_documents, paragraph_units, knn_topk, knn_exclude_self, knn_hit_lists, near_duplicates, self_match_control, retrievability, vector_codec, label_similarity,
+    doc_paths, chunk_documents, paragraph_units, knn_topk, knn_exclude_self, knn_hit_lists, near_duplicates, self_match_control, retrievability, superseded_retrievable, embed_pages, vector_codec, label_similarity,
 )
 QUERIES = {q.__name__: q for q in NAMES}
 
@@ -187,7 +207,23 @@ SQL = {
     "self_match_control": _ALL + f"SELECT count(DISTINCT query_id) n_queries, sum((query_id = match_id)::INT) n_found FROM ranked WHERE rank <= {K}",
     "retrievability": f"""WITH v AS (SELECT row_seq, embedding::DOUBLE[] e FROM chunk_vectors WHERE len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
         ranked AS (SELECT q.row_seq q, r.row_seq m, row_number() OVER (PARTITION BY q.row_seq ORDER BY round(list_cosine_similarity(q.e, r.e), 6) DESC, r.row_seq) k
-        FROM v q, v r WHERE q.row_seq % 20 = 0) SELECT sum((k <= 5)::INT) in_top_5, count(*) in_top_10 FROM ranked WHERE q = m AND k <= {K}""",
+        FROM v q, v r WHERE (q.row_seq // 2) % 20 = 0) SELECT sum((k <= 5)::INT) in_top_5, count(*) in_top_10 FROM ranked WHERE q = m AND k <= {K}""",
+    "superseded_retrievable": f"""WITH c AS (SELECT chunk_id, max(text_sha256) h, max(doc_id) d, max(version_id) v FROM chunks GROUP BY chunk_id),
+        last AS (SELECT d, max(v) lv FROM c WHERE d IS NOT NULL GROUP BY d),
+        r AS (SELECT row_seq, embedding, d, v, h FROM chunk_vectors JOIN c USING (chunk_id)),
+        t AS (SELECT r.* FROM r JOIN last USING (d) WHERE (row_seq // 2) % 20 = 0 AND v < lv),
+        ok AS (SELECT row_seq, embedding::DOUBLE[] e, d, h FROM r WHERE len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+        hits AS (SELECT q.row_seq q, o.row_seq m, o.d, o.h, row_number() OVER (PARTITION BY q.row_seq ORDER BY round(list_cosine_similarity(q.e, o.e), 6) DESC, o.row_seq) k
+            FROM ok q, ok o WHERE q.row_seq IN (SELECT row_seq FROM t)),
+        ranks AS (SELECT t.row_seq, min(k) FILTER (WHERE m = t.row_seq) exact_id, min(k) FILTER (WHERE hits.d = t.d) doc_scoped, min(k) FILTER (WHERE hits.h = t.h) content_scoped
+            FROM t LEFT JOIN hits ON q = t.row_seq AND k <= {K} GROUP BY t.row_seq),
+        long AS (FROM ranks UNPIVOT INCLUDE NULLS (a FOR mode IN (exact_id, doc_scoped, content_scoped)))
+        SELECT k, mode, count(*) n_targets, sum((coalesce(a, 999) <= k)::INT) n_found FROM long, (VALUES (5), (10)) ks(k) GROUP BY ALL""",
+    "embed_pages": _BODY + r"""SELECT doc_id, round(largest::DOUBLE, 4) largest, min(b)::INT + 1 AS position FROM (SELECT *, max(v) OVER (PARTITION BY doc_id) largest FROM (
+        SELECT doc_id, b, (coalesce(s, 0) / sqrt(sum(s * s) OVER (PARTITION BY doc_id)))::FLOAT v, sum(s * s) OVER (PARTITION BY doc_id) n FROM
+        (SELECT doc_id, unnest(range(64)) b FROM cleaned) grid LEFT JOIN (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 b, sum(CASE WHEN ('0x' || substr(md5(t), 9, 1))::INT < 8 THEN 1 ELSE -1 END) s
+        FROM (SELECT doc_id, unnest(regexp_extract_all(lower(body), '[a-z0-9_]+|[^A-Za-z0-9_ 	
+]')) t FROM cleaned) GROUP BY ALL) USING (doc_id, b)) WHERE n > 0) WHERE v = largest GROUP BY doc_id, largest""",
     "vector_codec": "SELECT vec_id, true survives, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) norm FROM embeddings",
     "label_similarity": """SELECT label, round(avg(list_cosine_similarity(e.embedding::DOUBLE[], h.head::DOUBLE[])), 6) mean_similarity, count(*) n
         FROM embeddings e JOIN (SELECT label, arg_min(embedding, vec_id) head FROM embeddings GROUP BY label) h USING (label) GROUP BY label""",
