@@ -181,33 +181,33 @@ _BODY = rf"""WITH unixed AS (SELECT doc_id, text, regexp_replace(text, '\r\n?',
 _BUCKET = "(('0x' || substr({h}, 50, 15))::BIGINT % 100 + 76 * (('0x' || substr({h}, 1, 4))::BIGINT % 100 + ('0x' || substr({h}, 5, 15))::BIGINT % 100 + ('0x' || substr({h}, 20, 15))::BIGINT % 100 + ('0x' || substr({h}, 35, 15))::BIGINT % 100)) % 100"
 _PAIRS = """WITH pairs AS (SELECT q.vec_id query_id, r.vec_id match_id, round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) similarity
     FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0 {but}),
- ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, match_id) AS rank, match_id, similarity FROM pairs)
+ ranked AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, match_id))::INT AS rank, match_id, similarity FROM pairs)
 """
 _ALL, _OTHERS = _PAIRS.format(but=""), _PAIRS.format(but="AND q.vec_id <> r.vec_id")
 
 SQL = {
-    "clean_documents": _BODY + "SELECT doc_id, title, sha256(body) content_sha256, length(body) n_chars, n_words, n_words < 30 is_stub FROM cleaned",
+    "clean_documents": _BODY + "SELECT doc_id, title, sha256(body) content_sha256, length(body)::INT n_chars, n_words::INT n_words, n_words < 30 is_stub FROM cleaned",
     "stub_filter": _BODY + "SELECT doc_id FROM cleaned WHERE n_words >= 30",
     "dup_clusters": _BODY + "SELECT sha256(body) content_sha256, count(*) n_docs, min(doc_id) first_doc FROM cleaned GROUP BY 1 HAVING count(*) > 1",
     "exact_dup_excess": _BODY + "SELECT coalesce(sum(n - 1), 0)::BIGINT excess, count(*) clusters FROM (SELECT count(*) n FROM cleaned GROUP BY body HAVING count(*) > 1)",
     "canonical_documents": _BODY + "SELECT min(doc_id) doc_id, sha256(body) content_sha256 FROM cleaned GROUP BY body",
-    "front_matter_split": _BODY + r"SELECT doc_id, length(regexp_extract(t, '(?s)\A---\n(.*?)\n---\n', 1)) front_chars, length(regexp_replace(t, '(?s)\A---\n(.*?)\n---\n', '')) body_chars FROM unixed",
+    "front_matter_split": _BODY + r"SELECT doc_id, length(regexp_extract(t, '(?s)\A---\n(.*?)\n---\n', 1))::INT front_chars, length(regexp_replace(t, '(?s)\A---\n(.*?)\n---\n', ''))::INT body_chars FROM unixed",
     "html_strip_pages": r"""SELECT doc_id, sha256(s) stripped_sha256 FROM (SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?s)\{\{[%<]\s*.*?\s*[%>]\}\}', '', 'g'), '<[^>]+>', '', 'g') s
         FROM documents) WHERE s <> text""",
-    "hash_bucket": f"SELECT DISTINCT doc_id, {_BUCKET.format(h="sha256('mode-a-update:' || doc_id)")} update_bucket, {_BUCKET.format(h="sha256('mode-d-rename:' || doc_id)")} rename_bucket FROM doc_versions",
+    "hash_bucket": f"SELECT DISTINCT doc_id, ({_BUCKET.format(h="sha256('mode-a-update:' || doc_id)")})::INT update_bucket, ({_BUCKET.format(h="sha256('mode-d-rename:' || doc_id)")})::INT rename_bucket FROM doc_versions",
     "hash_ranked_sample": f"SELECT doc_id FROM (SELECT DISTINCT doc_id FROM doc_versions) ORDER BY sha256('sample:' || doc_id) LIMIT {SAMPLE}",
     "uuid5_ids": f"""SELECT row_seq, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ('0x' || substr(h, 17, 1))::INT % 4 + 1, 1)
         || substr(h, 18, 3) || '-' || substr(h, 21, 12) point_id FROM (SELECT row_seq, sha1(unhex('{identity.POINT_NAMESPACE.replace("-", "")}') || encode(chunk_id)) h FROM vector_copy)""",
     "doc_paths": r"SELECT DISTINCT doc_id, regexp_replace(regexp_replace(source_path, '^(?:.*/)?content/handbook/', ''), '([^/])\.[^./]*$', '\1') made_id FROM ledger_documents",
-    "paragraph_units": _BODY + rf"SELECT doc_id, len(list_filter(string_split_regex(body, '\n\s*\n'), lambda p: length(regexp_replace(p, '{_WS}', '', 'g')) > 0)) n_paragraphs FROM cleaned",
+    "paragraph_units": _BODY + rf"SELECT doc_id, len(list_filter(string_split_regex(body, '\n\s*\n'), lambda p: length(regexp_replace(p, '{_WS}', '', 'g')) > 0))::INT n_paragraphs FROM cleaned",
     "knn_topk": _ALL + f"SELECT * FROM ranked WHERE rank <= {K}",
     "knn_exclude_self": _OTHERS + f"SELECT * FROM ranked WHERE rank <= {K}",
-    "knn_hit_lists": _OTHERS + f"SELECT query_id, count(*) n_hits, arg_min(match_id, rank) first_match FROM ranked WHERE rank <= {K} GROUP BY query_id",
+    "knn_hit_lists": _OTHERS + f"SELECT query_id, count(*)::INT n_hits, arg_min(match_id, rank) first_match FROM ranked WHERE rank <= {K} GROUP BY query_id",
     "near_duplicates": _OTHERS + f"SELECT query_id, match_id, similarity FROM ranked WHERE rank = 1 AND similarity >= {NEAR}",
-    "self_match_control": _ALL + f"SELECT count(DISTINCT query_id) n_queries, sum((query_id = match_id)::INT) n_found FROM ranked WHERE rank <= {K}",
+    "self_match_control": _ALL + f"SELECT count(DISTINCT query_id) n_queries, sum((query_id = match_id)::INT)::BIGINT n_found FROM ranked WHERE rank <= {K}",
     "retrievability": f"""WITH v AS (SELECT row_seq, embedding::DOUBLE[] e FROM chunk_vectors WHERE len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
         ranked AS (SELECT q.row_seq q, r.row_seq m, row_number() OVER (PARTITION BY q.row_seq ORDER BY round(list_cosine_similarity(q.e, r.e), 6) DESC, r.row_seq) k
-        FROM v q, v r WHERE (q.row_seq // 2) % 20 = 0) SELECT sum((k <= 5)::INT) in_top_5, count(*) in_top_10 FROM ranked WHERE q = m AND k <= {K}""",
+        FROM v q, v r WHERE (q.row_seq // 2) % 20 = 0) SELECT sum((k <= 5)::INT)::BIGINT in_top_5, count(*) in_top_10 FROM ranked WHERE q = m AND k <= {K}""",
     "superseded_retrievable": f"""WITH c AS (SELECT chunk_id, max(text_sha256) h, max(doc_id) d, max(version_id) v FROM chunks GROUP BY chunk_id),
         last AS (SELECT d, max(v) lv FROM c WHERE d IS NOT NULL GROUP BY d),
         r AS (SELECT row_seq, embedding, d, v, h FROM chunk_vectors JOIN c USING (chunk_id)),
@@ -218,7 +218,7 @@ SQL = {
         ranks AS (SELECT t.row_seq, min(k) FILTER (WHERE m = t.row_seq) exact_id, min(k) FILTER (WHERE hits.d = t.d) doc_scoped, min(k) FILTER (WHERE hits.h = t.h) content_scoped
             FROM t LEFT JOIN hits ON q = t.row_seq AND k <= {K} GROUP BY t.row_seq),
         long AS (FROM ranks UNPIVOT INCLUDE NULLS (a FOR mode IN (exact_id, doc_scoped, content_scoped)))
-        SELECT k, mode, count(*) n_targets, sum((coalesce(a, 999) <= k)::INT) n_found FROM long, (VALUES (5), (10)) ks(k) GROUP BY ALL""",
+        SELECT k, mode, count(*) n_targets, sum((coalesce(a, 999) <= k)::INT)::BIGINT n_found FROM long, (VALUES (5), (10)) ks(k) GROUP BY ALL""",
     "embed_pages": _BODY + r"""SELECT doc_id, round(largest::DOUBLE, 4) largest, min(b)::INT + 1 AS position FROM (SELECT *, max(v) OVER (PARTITION BY doc_id) largest FROM (
         SELECT doc_id, b, (coalesce(s, 0) / sqrt(sum(s * s) OVER (PARTITION BY doc_id)))::FLOAT v, sum(s * s) OVER (PARTITION BY doc_id) n FROM
         (SELECT doc_id, unnest(range(64)) b FROM cleaned) grid LEFT JOIN (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 b, sum(CASE WHEN ('0x' || substr(md5(t), 9, 1))::INT < 8 THEN 1 ELSE -1 END) s

@@ -259,7 +259,7 @@ _SELECTS = {
         UNION ALL SELECT 'index_events', 'engine', count(*) FROM index_events WHERE engine NOT IN ('pgvector', 'qdrant', 'chroma')
         UNION ALL SELECT 'index_events', 'expected_present', count(*) FROM index_events WHERE expected_present IS NULL
         UNION ALL SELECT 'index_events', 'chunk_id', count(*) FROM index_events WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks)""",
-    "chunks_by_version": """SELECT version_id, count(*) n_chunks, sum(token_count) tokens, arg_min(chunk_id, (ordinal, chunk_id)) first_chunk, arg_max(chunk_id, (ordinal, chunk_id)) last_chunk
+    "chunks_by_version": """SELECT version_id, count(*) n_chunks, sum(token_count)::BIGINT tokens, arg_min(chunk_id, (ordinal, chunk_id)) first_chunk, arg_max(chunk_id, (ordinal, chunk_id)) last_chunk
         FROM chks WHERE version_id IS NOT NULL GROUP BY version_id""",
     "events_by_commit": "SELECT commit_sha, engine, op, count(*) n_events FROM counted GROUP BY ALL",
     "status_counts": "SELECT status, count(*) n_docs FROM docs GROUP BY status",

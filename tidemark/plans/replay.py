@@ -212,7 +212,7 @@ _SELECTS = {
     "reingest_duplicates": "SELECT doc, count(*) n_chunks FROM steps JOIN chks USING (doc, made) WHERE outcome = 'reingest' GROUP BY doc",
     "index_events_log": """SELECT row_number() OVER (ORDER BY r, k, seq, phase, chunk_id) event_id, engine, chunk_id, op, expected_present
         FROM (SELECT *, CASE op WHEN 'upsert' THEN 0 WHEN 'delete' THEN 1 ELSE 2 END k FROM ops), (VALUES (0, 'pgvector'), (1, 'qdrant'), (2, 'chroma')) e(r, engine)""",
-    "replay_conservation": """SELECT sum((op = 'upsert')::INT) n_upsert, sum((op = 'delete')::INT) n_delete, sum((op = 'skip')::INT) n_skip,
-        sum((op = 'upsert')::INT) - sum((op = 'delete')::INT) n_live FROM ops""",
+    "replay_conservation": """SELECT count(*) FILTER (WHERE op = 'upsert') n_upsert, count(*) FILTER (WHERE op = 'delete') n_delete, count(*) FILTER (WHERE op = 'skip') n_skip,
+        count(*) FILTER (WHERE op = 'upsert') - count(*) FILTER (WHERE op = 'delete') n_live FROM ops""",
 }
 SQL = {name: _LOG + q for name, q in _SELECTS.items()}
