@@ -75,11 +75,12 @@ def transactions(documents: DataFrame, labels: DataFrame, most: int = LABELLED)
 def expected_shares(sentences: DataFrame) -> DataFrame:
     """(lang, s, share): each subject's share of the sentences in a language, drawn to its share of all."""
     pairs = sentences.select("lang", F.explode("subjects").alias("s"))
-    n_all = sentences.count()
-    every = pairs.groupBy("s").agg((F.count("*") / max(1, n_all)).alias("overall"))
+    n_all = max(1, sentences.count())
+    overall = {r["s"]: r["count"] / n_all for r in pairs.groupBy("s").count().collect()}  # a row per subject of the fixed list
     langs = sentences.groupBy("lang").agg(F.count("*").alias("of_lang"))
+    given = F.create_map(*[F.lit(x) for item in sorted(overall.items()) for x in item])
+    grid = langs.select("lang", "of_lang", F.explode(given).alias("s", "overall"))
     both = pairs.groupBy("lang", "s").agg(F.count("*").alias("both"))
-    grid = langs.join(F.broadcast(every))  # languages by subjects, both short lists
     filled = grid.join(both, ["lang", "s"], "left").fillna(0, ["both"])
     return filled.select("lang", "s", ((F.col("both") + PRIOR_COUNT * F.col("overall")) / (F.col("of_lang") + PRIOR_COUNT)).alias("share"))
 
