@@ -54,8 +54,7 @@ def midpoint_seq(log: DataFrame) -> DataFrame:
     ends = log.agg(F.min("ts").alias("t0"), F.max("ts").alias("t1")).select(
         F.expr("timestampadd(MICROSECOND, timestampdiff(MICROSECOND, t0, t1) div 2, t0)").alias("mid")
     )
-    both = log.join(F.broadcast(ends))  # a single row
-    return first_at_or_after(both, F.col("mid"))
+    return first_at_or_after(log, F.lit(ends.first()["mid"]).cast("timestamp_ntz"))
 
 
 def fraction_seq(log: DataFrame, fraction: float) -> DataFrame:
@@ -116,19 +115,19 @@ def walk(t0: DataFrame, changes: DataFrame, contents: DataFrame, reingest: DataF
         F.lit(OUT).alias("phase"), F.lit("t0").alias("kind"), "doc", F.lit(None).cast("string").alias("other_doc"), F.lit(True).alias("live_after"),
     )
     steps = initial.unionByName(expand(changes, contents).withColumn("seq", F.col("seq").cast("bigint")))
-    if reingest is not None:
-        at = F.broadcast(reingest.select(F.col("seq").alias("at_seq")))  # a single row
+    at = reingest.select("seq").first() if reingest is not None else None
+    if at is not None:
         then = F.when(F.col("live_after").isNotNull(), F.struct(*ORDER))
         content = F.when(F.col("live_after"), F.struct(*ORDER))
         live = (
-            steps.join(at, F.col("seq") <= F.col("at_seq"))
-            .groupBy("doc", "at_seq")
+            steps.where(F.col("seq") <= at["seq"])
+            .groupBy("doc")
             .agg(F.max_by("live_after", then).alias("live"), F.max_by("content_key", content).alias("content_key"))
             .where("live")
         )
-        sha = changes.groupBy("seq").agg(F.max("commit_sha").alias("sha"))
-        again = live.join(sha, live["at_seq"] == sha["seq"]).select(
-            F.col("at_seq").cast("bigint").alias("seq"), F.concat("sha", F.lit("::reingest")).alias("commit_sha"), "content_key", F.lit(False).alias("is_stub"),
+        sha = changes.where(F.col("seq") == at["seq"]).agg(F.max("commit_sha")).first()[0]
+        again = live.select(
+            F.lit(at["seq"]).cast("bigint").alias("seq"), F.lit(f"{sha}::reingest").alias("commit_sha"), "content_key", F.lit(False).alias("is_stub"),
             F.lit(REINGEST).alias("phase"), F.lit("reingest").alias("kind"), "doc", F.lit(None).cast("string").alias("other_doc"), F.lit(True).alias("live_after"),
         )
         steps = steps.unionByName(again)
@@ -226,4 +225,6 @@ def event_log(ops: DataFrame) -> DataFrame:
 
 def erasure_choice(docs: DataFrame, at: DataFrame, n: int, salt: str = ERASURE_SALT) -> DataFrame:
     """(seq, doc): the n documents first by salted hash, to be erased at the given place."""
-    return hash_ranked(docs.select("doc"), "doc", salt, n).join(F.broadcast(at.select("seq")))  # a single row
+    place = at.select("seq").first()
+    chosen = hash_ranked(docs.select("doc"), "doc", salt, n)
+    return chosen.withColumn("seq", F.lit(place["seq"] if place else None).cast("bigint")).where("seq is not null")
