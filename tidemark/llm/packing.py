@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Tokens per length bin: lengths are rounded up to it while planning, so that every planned container fits.
-BIN = 8
+BIN = 4
 #: Groups over which the items of one bin are ranked, so that a bin with a third of all items is no hot key.
 RANK_SALTS = 64
 
@@ -30,20 +30,25 @@ def shallow_combinations(top: int, depth: int = 3) -> np.ndarray:
     return m
 
 
-def non_negative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """x >= 0 that minimises |ax - b|, by the active-set method on the normal equations."""
-    gram, target = a.T @ a, a.T @ b
+def non_negative_least_squares(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-2, rounds: int = 4000) -> np.ndarray:
+    """x >= 0 that minimises |ax - b|, by the active-set method; equations are only set up for the columns in use.
+
+    It ends when no column would gain more than ``tolerance`` of the largest gain there was; the rounding afterwards loses more.
+    """
     x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    slack = 1e-7 * max(1.0, np.abs(target).max())
+    slack = tolerance * max(1e-9, np.abs(a.T @ b).max())
     for _ in range(rounds):
-        gain = np.where(free, -np.inf, target - gram @ x)
+        at = np.flatnonzero(free)
+        gain = a.T @ (b - a[:, at] @ x[at])
+        gain[at] = -np.inf
         best = int(gain.argmax())
         if gain[best] <= slack:
             break
         free[best] = True
         while True:
             at = np.flatnonzero(free)
-            s = np.linalg.solve(gram[np.ix_(at, at)] + 1e-9 * np.eye(len(at)), target[at])
+            own = a[:, at]
+            s = np.linalg.solve(own.T @ own + 1e-9 * np.eye(len(at)), own.T @ b)
             if s.min() > 0:
                 x[:] = 0
                 x[at] = s
