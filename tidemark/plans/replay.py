@@ -29,9 +29,11 @@ class Log:
 
     @cached_property
     def contents(self) -> DataFrame:
-        pages = dense_ids(cleaned(self.spark, self.sf_dir).select("doc_id", "body"), ["doc_id"], "content_key", start=0)
         chunks = F.transform(text.paragraphs(F.col("body")), lambda p, i: F.struct(i.alias("ordinal"), F.sha2(p, 256).alias("text_sha256")))
-        return pages.select("content_key", text.is_stub(F.col("body")).alias("is_stub"), F.sha2("body", 256).alias("content_sha256"), chunks.alias("chunks"))
+        pages = cleaned(self.spark, self.sf_dir).select(
+            "doc_id", text.is_stub(F.col("body")).alias("is_stub"), F.sha2("body", 256).alias("content_sha256"), chunks.alias("chunks")
+        )
+        return dense_ids(pages, ["doc_id"], "content_key", start=0).drop("doc_id")  # hashes are sorted, not texts
 
     @cached_property
     def changes(self) -> DataFrame:
