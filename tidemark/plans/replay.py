@@ -33,7 +33,8 @@ class Log:
         pages = cleaned(self.spark, self.sf_dir).select(
             "doc_id", text.is_stub(F.col("body")).alias("is_stub"), F.sha2("body", 256).alias("content_sha256"), chunks.alias("chunks")
         )
-        return dense_ids(pages, ["doc_id"], "content_key", start=0).drop("doc_id")  # hashes are sorted, not texts
+        numbers = dense_ids(pages.select("doc_id"), ["doc_id"], "content_key", start=0)  # ids are sorted, not texts
+        return pages.join(numbers, "doc_id").drop("doc_id")
 
     @cached_property
     def changes(self) -> DataFrame:
