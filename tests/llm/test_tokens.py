@@ -1,0 +1,29 @@
+import base64
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm.packing import pack
+from tidemark.llm.tokens import vocabulary_token_count
+
+FOLDER = Path("/opt/tokenizers")
+RANKS = FOLDER / "byte_bpe_50k.tiktoken"
+
+
+@pytest.mark.skipif(not RANKS.exists(), reason="no vocabulary files here")
+def test_counts_by_a_vocabulary(spark):
+    import tiktoken
+
+    sys.path.insert(0, str(FOLDER.resolve().parent))
+    import public_tokenizers as p
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, RANKS.open("rb"))}
+    known = tiktoken.Encoding("t", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["Some words.", "", None, "naïve 日本 🙂", "<|endoftext|>", "x" * 5000, "word " * 3000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item int, text string")
+    sized = df.select("item", vocabulary_token_count(F.col("text"), str(RANKS), p.PATTERN).alias("tokens"))
+    assert {r.item: r.tokens for r in sized.collect()} == {i: len(known.encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)}
+    placed = pack(sized).collect()
+    assert {r.item for r in placed} == set(range(len(texts))) and sum(r.item == 6 for r in placed) == 2
