@@ -61,3 +61,8 @@ def test_a_window_of_overlap_alone_is_kept(spark):
     df = spark.createDataFrame([(1, text)], "id int, text string")
     rows = sorted(chunk(df, "id", "text").collect(), key=lambda r: r.ordinal)
     assert [r.token_count for r in rows] == [500, 450, 500]
+
+
+def test_any_columns_may_be_asked_for(spark):
+    df = chunk(spark.createDataFrame([(1, "a b. " * 600), (2, None)], "id int, text string"), "id", "text")
+    assert df.count() == df.select("ordinal").count() == len(df.collect()) == df.where("token_count > 0").count() > 1

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,13 +62,17 @@ def chunk(docs: DataFrame, key: str, text: str, most: int = MAX_TOKENS, overlap:
     through Python, a batch of texts at a time, and nothing is shuffled.
     """
 
-    @F.pandas_udf("array<struct<i:int,j:int>>")
-    def windows(counts: pd.Series) -> pd.Series:
-        return counts.map(lambda n: [] if n is None else pack_windows(n, most, overlap))
+    window = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))
+
+    def with_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [[] if n is None else pack_windows(np.array(n), most, overlap) for n in batch.column("n").to_pylist()]
+            found = pa.array([[{"i": i, "j": j} for i, j in own] for own in counts], window)
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("u"), found], names=[key, "u", "w"])
 
-    once = windows.asNondeterministic()  # or the optimizer would copy it into a filter that can't run Python
-    sized = docs.select(key, units(F.col(text), most).alias("u"))
-    found = sized.withColumn("w", once(F.transform("u", count_tokens)))
+    sized = docs.select(key, units(F.col(text), most).alias("u")).withColumn("n", F.transform("u", count_tokens))
+    kind = docs.schema[key].dataType.simpleString()
+    found = sized.mapInArrow(with_windows, f"`{key}` {kind}, u array<string>, w array<struct<i:int,j:int>>")
     made = found.select(key, "u", F.posexplode("w").alias("ordinal", "s"))
     body = F.array_join(F.slice("u", F.col("s.i") + 1, F.col("s.j") - F.col("s.i")), "\n\n")
     return made.select(key, "ordinal", body.alias("text")).select(
