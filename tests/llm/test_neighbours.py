@@ -50,6 +50,19 @@ def test_recall_and_truth_of_what_is_found(spark):
     assert len(found) == len(set(found)) and all(r.chunk_id_a < r.chunk_id_b for r in found)
 
 
+def test_recall_where_cells_are_many(spark, tmp_path):
+    """Among 90,000 vectors nearly every neighbour of 0.85 and more is found."""
+    x = families(45_000, 2, 0.38, 9)
+    ids = [f"c{i:05d}" for i in range(len(x))]
+    pd.DataFrame({"row_seq": range(len(x)), "chunk_id": ids, "embedding": list(x)}).to_parquet(tmp_path / "v.parquet")
+    unit = n.unit_rows(x)
+    like = (unit[0::2] * unit[1::2]).sum(1)
+    want = {(ids[2 * i], ids[2 * i + 1]) for i in np.flatnonzero(like > 0.851)}
+    assert len(want) > 10_000
+    got = {tuple(r) for r in similar_pairs(top_similar(spark.read.parquet(str(tmp_path / "v.parquet")), 5, 0.85), 0.85).collect()}
+    assert len(got & want) >= 0.98 * len(want)
+
+
 def test_exact_where_all_cells_are_visited(spark):
     """Few rows lie in one cell, so the result is that of brute force, ties, equal and scaled vectors included."""
     base = families(5, 3, 0.3, 3)

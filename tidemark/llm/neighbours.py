@@ -3,7 +3,9 @@
 The two halves of a vector are quantised apart, so that few centroids make many cells. A query visits the cells,
 pairs of centroids, in the order of their summed distances, and its candidates are reranked by exact similarity.
 Cells are spread over tasks by groups of neighbouring first-half centroids, so a vector travels once for its own
-group and seldom more than once again for the cells that it visits elsewhere.
+group and once for each further group in which it visits cells. As cells get finer with the number of vectors, a
+neighbour is more often across a border; so there are several tables, each of the vectors under another rotation,
+and what one of them parts another finds. That ships far less than visits that go as far in one table alone.
 
 Equal vectors are one class with one representative in the index; whoever is similar to it is similar to all.
 """
@@ -25,12 +27,16 @@ SAMPLE = 32_768
 #: Most centroids of a half.
 MOST_CENTROIDS = 4096
 #: Cells that a query visits at most, and how much farther than the nearest one a cell may be, in squared distance.
-VISITS = 16
-MARGIN = 0.05
+VISITS = 32
+MARGIN = 0.12
+#: Tables, and groups of each, its own included, to which a vector travels.
+TABLES = 3
+GROUPS = 2
 #: Root of the rows expected in a cell.
 ROOT_OF_CELL = 3.0
-#: Rows aimed at for a group of cells, searched by one task; a cell expected to hold more gets an index of its own.
+#: A cell expected to hold more rows gets an index of its own. A group of cells, searched by one task, aims at FOLD times as many.
 GROUP_ROWS = 8192
+FOLD = 4
 #: Pairs compared at once.
 PAIRS = 1 << 18
 
@@ -66,7 +72,7 @@ def fit(sample: np.ndarray, rows: float, rng: np.random.Generator, taken: list[i
     half = DIM // 2
     k = int(np.clip(rows**0.5 / ROOT_OF_CELL, 1, min(MOST_CENTROIDS, max(1, len(sample) // 4))))
     first, second = k_means(sample[:, :half], k, rng), k_means(sample[:, half:], k, rng)
-    groups = int(np.clip(rows / GROUP_ROWS, 1, len(first)))
+    groups = int(np.clip(rows / (FOLD * GROUP_ROWS), 1, len(first)))
     group = nearest(first, k_means(first, groups, rng)).argmin(1)
     index = Index(first, second, group + taken[1], taken[0])
     taken[0] += len(first) * len(second)
@@ -79,6 +85,16 @@ def fit(sample: np.ndarray, rows: float, rng: np.random.Generator, taken: list[i
     return index
 
 
+def fit_tables(sample: np.ndarray, rows: float) -> list[tuple[np.ndarray, Index]]:
+    """(rotation, index) of every table, the first without rotation; one table where all rows lie in one cell."""
+    rng, taken = np.random.default_rng(7), [0, 0]
+    tables = [(np.eye(DIM, dtype=np.float32), fit(sample, rows, rng, taken))]
+    while taken[0] > 1 and len(tables) < TABLES:
+        rotation = np.linalg.qr(rng.normal(size=(DIM, DIM)))[0].astype(np.float32)
+        tables.append((rotation, fit(sample @ rotation, rows, rng, taken)))
+    return tables
+
+
 def cells_by_heap(a: list[float], b: list[float], most: int) -> list[tuple[int, int]]:
     """Pairs of places in two ascending lists in the order of their sums, as far as the margin."""
     farthest = a[0] + b[0] + MARGIN
@@ -95,6 +111,12 @@ def cells_by_heap(a: list[float], b: list[float], most: int) -> list[tuple[int,
 
 def visits(index: Index, unit: np.ndarray, most: int) -> Iterator[tuple[int, int, int, bool]]:
     """(row, cell, group, whether it is the row's own cell) of all cells that the rows visit."""
+    for row, cell, group, place in placed_visits(index, unit, most):
+        yield row, cell, group, place == 0
+
+
+def placed_visits(index: Index, unit: np.ndarray, most: int) -> Iterator[tuple[int, int, int, float]]:
+    """(row, cell, group, place) of all cells that the rows visit, in no order; a row's own cell has place 0, the next nearest a higher one."""
     half, width = DIM // 2, len(index.second)
     lists = []
     for x, c in ((unit[:, :half], index.first), (unit[:, half:], index.second)):
@@ -105,18 +127,18 @@ def visits(index: Index, unit: np.ndarray, most: int) -> Iterator[tuple[int, int
         order = np.argsort(kept, axis=1, kind="stable")
         lists += [np.take_along_axis(top, order, 1).tolist(), np.take_along_axis(kept, order, 1).tolist()]
     group = index.group.tolist()
-    deeper: dict[int, list[tuple[int, bool]]] = {}
+    deeper: dict[int, list[tuple[int, int]]] = {}
     for row, (ti, di, tj, dj) in enumerate(zip(*lists, strict=True)):
         for n, (i, j) in enumerate(cells_by_heap(di, dj, most)):
             cell = ti[i] * width + tj[j]
             if cell in index.finer:
-                deeper.setdefault(cell, []).append((row, n == 0))
+                deeper.setdefault(cell, []).append((row, n))
             else:
-                yield row, index.base + cell, group[ti[i]], n == 0
+                yield row, index.base + cell, group[ti[i]], n
     for cell, who in deeper.items():
         rows = [r for r, _ in who]
-        for row, c, g, own in visits(index.finer[cell], unit[rows], most):
-            yield rows[row], c, g, own and who[row][1]
+        for row, c, g, within in placed_visits(index.finer[cell], unit[rows], most):
+            yield rows[row], c, g, who[row][1] + within / most
 
 
 def to_matrix(vectors: pd.Series) -> np.ndarray:
@@ -131,24 +153,35 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 ROUTED = "grp int, cls bigint, name string, vector binary, own bigint, cells array<bigint>"
 
 
-def routed(index: Index, pdf: pd.DataFrame, most: int) -> pd.DataFrame:
-    """Each row once for every group in which it is stored or visits cells."""
+def routed(tables: list[tuple[np.ndarray, Index]], pdf: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Each row once for every group in which it is stored or visits cells; only where it is stored does it need its name."""
     raw = np.stack(pdf.embedding.to_numpy()).astype(np.float32)
     unit = unit_rows(raw).astype(np.float32)
     at: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
-    for row, cell, grp, own in visits(index, unit, most):
-        cells, mine = at.setdefault((row, grp), ([], [-1]))
-        cells.append(cell)
-        if own:
-            mine[0] = cell
+    for rotation, index in tables:
+        met = sorted(placed_visits(index, unit @ rotation, most), key=lambda v: (v[0], v[3]))
+        last, groups = -1, set()
+        for row, cell, grp, place in met:
+            if row != last:
+                last, groups = row, set()
+            if grp not in groups:
+                if len(groups) == GROUPS:
+                    continue
+                groups.add(grp)
+            cells, mine = at.setdefault((row, grp), ([], [-1]))
+            cells.append(cell)
+            if place == 0:
+                mine[0] = cell
     rows = [r for r, _ in at]
+    own = [mine[0] for _, mine in at.values()]
+    names = pdf.name_.to_numpy()
     return pd.DataFrame(
         {
             "grp": [g for _, g in at],
             "cls": pdf.cls.to_numpy()[rows],
-            "name": pdf.name_.to_numpy()[rows],
+            "name": [names[r] if o >= 0 else "" for r, o in zip(rows, own, strict=True)],
             "vector": [raw[r].tobytes() for r in rows],
-            "own": [mine[0] for _, mine in at.values()],
+            "own": own,
             "cells": [cells for cells, _ in at.values()],
         }
     )
@@ -207,7 +240,7 @@ def top_similar(vectors: DataFrame, k: int = 5, least: float = -1.0, visited: in
     rounded to 6 decimals; equal ones rank by chunk_id. Vectors that are null, zero, not of 64 numbers or hold
     nulls or NaN take no part. Empty input gives no rows; other columns are not used.
 
-    Approximate in one way only: a neighbour in none of the cells that either side visits is not found.
+    Approximate in one way only: a neighbour that in no table lies in a cell visited by either side is not found.
     Equal vectors are told by a 64-bit hash. Of a class, however large, only its first k + 1 ids can be among
     anyone's k most similar, so only those are looked at as neighbours, and every member gets its own list.
     """
@@ -224,13 +257,12 @@ def top_similar(vectors: DataFrame, k: int = 5, least: float = -1.0, visited: in
     sample = picked.dropDuplicates(["cls"]).select("embedding").toPandas().embedding  # about SAMPLE rows
     if not len(sample):
         return spark.createDataFrame([], "chunk_id string, place int, other string, similarity double")
-    fitted = fit(unit_rows(np.stack(sample.to_numpy())).astype(np.float32), rows, np.random.default_rng(7), [0, 0])
-    index = spark.sparkContext.broadcast(fitted)
+    tables = spark.sparkContext.broadcast(fit_tables(unit_rows(np.stack(sample.to_numpy())).astype(np.float32), rows))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for b in range(0, len(pdf), 2048):
-                yield routed(index.value, pdf[b : b + 2048], visited)
+                yield routed(tables.value, pdf[b : b + 2048], visited)
 
     groups = classes.mapInPandas(route, ROUTED).groupBy("grp")
     found = groups.applyInPandas(lambda pdf: search_group(pdf, k + 1, least), "a bigint, b bigint, similarity double")
