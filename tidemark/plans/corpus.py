@@ -115,7 +115,10 @@ def knn_hit_lists(spark, sf_dir):
 
 
 def near_duplicates(spark, sf_dir):
-    """Queries with any other row at least so similar."""
+    """A plain search on ``embeddings``: of every twentieth row the nearest other one, if at least so similar.
+
+    Near-duplicate chunks, each of them judged, are ``near_duplicate_chunks``.
+    """
     hits = exact_top_k(*_vectors(spark, sf_dir), 1)
     return hits.where(F.col("similarity") >= NEAR).select("query_id", "match_id", "similarity")
 

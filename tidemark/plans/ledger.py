@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from tidemark.functions.times import neutral
 from tidemark.operators import audit, ledger
 from tidemark.operators.changefeed import counted_deliveries
+from tidemark.operators.near import near_links
 from tidemark.operators.ordering import chain_ends, dense_ids
-from tidemark.session import table
+from tidemark.session import cut_lineage, table
 
 ERASED = 40
+NEAR_COPY = 0.98
+STORE = "pgvector"
 
 
 class Tables:
@@ -178,10 +181,22 @@ def status_counts(spark, sf_dir):
     return Tables(spark, sf_dir).documents.groupBy("status").agg(F.count("*").alias("n_docs"))
 
 
+def near_duplicate_chunks(spark, sf_dir):
+    """Stored chunks outside exact text clusters with other stored chunks at least 0.98 similar, and with how many.
+
+    Every chunk that pgvector holds is judged. Those in exact clusters, whose text several held chunks share, aren't listed but count as others.
+    """
+    t = Tables(spark, sf_dir)
+    held = cut_lineage(t.held.where(F.col("engine") == STORE).select("engine", "chunk_id"))
+    links = near_links(t.raw("chunk_vectors").join(held.select("chunk_id"), "chunk_id", "left_semi"), NEAR_COPY)
+    clustered = audit.duplicate_places(held.join(t.chunks.select("chunk_id", "text_sha256"), "chunk_id")).where("copies > 1").select("chunk_id")
+    return links.where("n_links > 0").join(clustered, "chunk_id", "left_anti")
+
+
 NAMES = (
     documents_upsert, versions_numbered, latest_index_events, chunk_lineage, deleted_doc_targets, erasure_targets, events_to_append, chunks_not_embedded,
     expected_vs_actual_drift, stale_chunks, orphan_causes, exact_duplicates_held, venn_regions, precision_recall, engine_snapshot, storage_persistence,
-    rename_chain, purge_documents, constraint_violations, chunks_by_version, events_by_commit, status_counts,
+    rename_chain, purge_documents, constraint_violations, chunks_by_version, events_by_commit, status_counts, near_duplicate_chunks,
 )
 QUERIES = {q.__name__: q for q in NAMES}
 
@@ -223,6 +238,12 @@ _SELECTS = {
         FROM (SELECT DISTINCT doc_id, commit_sha, content_sha256, action FROM vers)""",
     "latest_index_events": """SELECT engine, chunk_id, max(event_id) event_id, arg_max(op, event_id) op, arg_max(struct_pack(e := expected_present), event_id).e expected_present,
         arg_max(commit_sha, event_id) commit_sha FROM ev GROUP BY engine, chunk_id""",
+    "near_duplicate_chunks": f""", pg AS (SELECT chunk_id FROM held WHERE engine = 'pgvector'),
+        v AS (SELECT chunk_id, arg_max(struct_pack(e := embedding), row_seq).e::DOUBLE[] e FROM chunk_vectors SEMI JOIN pg USING (chunk_id) GROUP BY chunk_id),
+        u AS (SELECT * FROM v WHERE len(e) = 64 AND list_max(list_transform(e, lambda x: abs(x))) > 0),
+        clustered AS (SELECT unnest(list(chunk_id)) chunk_id FROM pg JOIN chks USING (chunk_id) WHERE text_sha256 IS NOT NULL GROUP BY text_sha256 HAVING count(*) > 1)
+        SELECT a.chunk_id, count(*) n_links FROM u a JOIN u b ON a.chunk_id <> b.chunk_id AND round(list_cosine_similarity(a.e, b.e), 6) >= {NEAR_COPY}
+        WHERE a.chunk_id NOT IN (SELECT chunk_id FROM clustered) GROUP BY ALL""",
     "chunk_lineage": "SELECT * FROM lineage",
     "deleted_doc_targets": "SELECT * FROM targets",
     "erasure_targets": f"""SELECT doc_id, 'head' requested_at_commit, engine, 1 expected_absent FROM engines, (SELECT doc_id FROM docs
