@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.times import neutral
 from tidemark.operators import audit, ledger
 from tidemark.operators.changefeed import counted_deliveries
+from tidemark.operators.knn import exact_top_k
 from tidemark.operators.near import near_links
 from tidemark.operators.ordering import chain_ends, dense_ids
 from tidemark.session import cut_lineage, table
@@ -15,6 +16,7 @@ from tidemark.session import cut_lineage, table
 ERASED = 40
 NEAR_COPY = 0.98
 STORE = "pgvector"
+MOST_HITS = 10
 
 
 class Tables:
@@ -193,10 +195,38 @@ def near_duplicate_chunks(spark, sf_dir):
     return links.where("n_links > 0").join(clustered, "chunk_id", "left_anti")
 
 
+def _still_found(t: Tables, targets: DataFrame) -> DataFrame:
+    """How far the chunks of targets' last chunked versions are found among what pgvector holds, by their own current vectors.
+
+    targets: doc_id, last_chunked_version_id. A chunk that was never stored has no vector to search with and is no target.
+    """
+    body = F.struct("row_seq", "embedding")
+    latest = t.raw("chunk_vectors").where("chunk_id is not null").groupBy("chunk_id").agg(F.max_by(body, "row_seq").alias("b"))
+    rows = latest.join(t.chunks.select("chunk_id", "doc_id", "version_id", "text_sha256"), "chunk_id", "left").select("chunk_id", F.col("b.row_seq").alias("id"), "b.embedding", "doc_id", "version_id", "text_sha256")
+    rows = cut_lineage(rows.join(t.held.where(F.col("engine") == STORE).select("chunk_id", F.lit(True).alias("is_held")), "chunk_id", "left"))
+    held = rows.where("is_held")
+    wanted = rows.join(targets.select("doc_id", F.col("last_chunked_version_id").alias("version_id")), ["doc_id", "version_id"], "left_semi")
+    return audit.retrievable(wanted, exact_top_k(wanted, held, MOST_HITS, exclude_self=False), held)
+
+
+def deleted_retrievable(spark, sf_dir):
+    """How many last chunks of deleted documents a search still finds within 5 and 10: by id, by document and by text."""
+    t = Tables(spark, sf_dir)
+    return _still_found(t, ledger.deleted_targets(t.documents, t.chunks))
+
+
+def erased_retrievable(spark, sf_dir):
+    """The same of documents whose erasure is requested."""
+    t = Tables(spark, sf_dir)
+    asked = ledger.erasure_requests(t.documents, ERASED, F.lit("head")).where(F.col("engine") == STORE)
+    return _still_found(t, asked.select("doc_id").join(ledger.last_chunked(t.chunks), "doc_id"))
+
+
 NAMES = (
     documents_upsert, versions_numbered, latest_index_events, chunk_lineage, deleted_doc_targets, erasure_targets, events_to_append, chunks_not_embedded,
     expected_vs_actual_drift, stale_chunks, orphan_causes, exact_duplicates_held, venn_regions, precision_recall, engine_snapshot, storage_persistence,
     rename_chain, purge_documents, constraint_violations, chunks_by_version, events_by_commit, status_counts, near_duplicate_chunks,
+    deleted_retrievable, erased_retrievable,
 )
 QUERIES = {q.__name__: q for q in NAMES}
 
@@ -232,7 +262,22 @@ _BASE = """WITH RECURSIVE
  dead AS (SELECT doc_id FROM docs WHERE is_synthetic_pii = 1)
 """
 
+_STILL_FOUND = """, pg AS (SELECT chunk_id FROM held WHERE engine = 'pgvector'),
+ v AS (SELECT chunk_id, max(row_seq) id, arg_max(struct_pack(e := embedding), row_seq).e::DOUBLE[] e FROM chunk_vectors WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
+ r AS (SELECT v.*, c.doc_id, c.version_id, c.text_sha256, len(e) = 64 AND list_max(list_transform(e, lambda x: abs(x))) > 0 good FROM v LEFT JOIN chks c USING (chunk_id)),
+ q AS (SELECT r.* FROM r JOIN ({wanted}) w ON r.doc_id = w.doc_id AND r.version_id = w.last_chunked_version_id),
+ o AS (SELECT r.* FROM r SEMI JOIN pg USING (chunk_id) WHERE good),
+ hits AS (SELECT q.id qid, o.id oid, o.doc_id d, o.text_sha256 h, row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.e, o.e), 6) DESC, o.id) k FROM q, o WHERE q.good),
+ ranks AS (SELECT q.id, min(k) FILTER (WHERE oid = q.id) exact_id, min(k) FILTER (WHERE d = q.doc_id) doc_scoped, min(k) FILTER (WHERE h = q.text_sha256) content_scoped
+     FROM q LEFT JOIN hits ON qid = q.id AND k <= 10 GROUP BY q.id),
+ long AS (FROM ranks UNPIVOT INCLUDE NULLS (a FOR mode IN (exact_id, doc_scoped, content_scoped)))
+ SELECT k, mode, count(*) n_targets, sum((coalesce(a, 999) <= k)::INT)::BIGINT n_found FROM long, (VALUES (5), (10)) ks(k) GROUP BY ALL"""
+
 _SELECTS = {
+    "deleted_retrievable": _STILL_FOUND.format(wanted="SELECT * FROM targets"),
+    "erased_retrievable": _STILL_FOUND.format(
+        wanted=f"SELECT l.* FROM last_chunked l JOIN (SELECT doc_id FROM docs WHERE is_synthetic_pii = 1 ORDER BY sha256('pii-erasure-2.3:' || doc_id) LIMIT {ERASED}) USING (doc_id)"
+    ),
     "documents_upsert": "SELECT * FROM docs",
     "versions_numbered": """SELECT *, row_number() OVER (ORDER BY doc_id, commit_sha, content_sha256, action) dense_id
         FROM (SELECT DISTINCT doc_id, commit_sha, content_sha256, action FROM vers)""",
