@@ -36,3 +36,13 @@ def test_odd_vectors_and_empty_tables(spark):
     lists = {r.query_id: len(r.hits) for r in with_empty(rows, hits).collect()}
     assert lists == {0: 1, 1: 1, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0}
     assert exact_top_k(rows.limit(0), rows, 5).count() == 0 and exact_top_k(rows, rows.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("dim", [4, None])
+def test_one_length_holds_for_all_batches(spark, dim):
+    """Short vectors are as many as sound ones or more among the queries and in one part of the rows, but not in the table."""
+    long, short = np.eye(4)[[0, 1, 2, 3, 0, 1]], np.ones((3, 2))
+    rows = frame(spark, long).coalesce(1).unionByName(frame(spark, [*short, long[0]], 6).coalesce(1))
+    asked = rows.where("id >= 6")
+    hits = {(r.query_id, r.match_id) for r in exact_top_k(asked, rows, 3, False, dim).collect()}
+    assert hits == {(9, 0), (9, 4), (9, 9)}

@@ -15,24 +15,30 @@ QUERY_BLOCK = 20_000
 CELLS = 1 << 22
 
 
-def unit(rows: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors in double precision, which rows have one): null, zero and oddly long vectors have none."""
+def unit(rows: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors in double precision, which rows have one): null and zero vectors and those not of ``dim`` numbers have none."""
     sizes = rows.map(lambda v: -1 if v is None else len(v)).to_numpy()
-    usual = int(np.bincount(sizes[sizes > 0]).argmax()) if (sizes > 0).any() else 0
-    good = sizes == usual if usual else np.zeros(len(rows), bool)
-    x = np.stack(rows[good].to_numpy()).astype(np.float64) if good.any() else np.zeros((0, max(usual, 1)))
+    good = sizes == dim
+    x = np.stack(rows[good].to_numpy()).astype(np.float64) if good.any() else np.zeros((0, dim))
     length = np.sqrt((x**2).sum(1))
     sound = np.isfinite(length) & (length > 0)
     good[np.flatnonzero(good)[~sound]] = False
     return x[sound] / length[sound, None], good
 
 
-def exact_top_k(queries: DataFrame, rows: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
+def usual_length(rows: DataFrame) -> int:
+    """The most common length of all vectors that have numbers, the greatest of several; 1 if there are none."""
+    lengths = rows.where("id is not null").groupBy(F.size("embedding").alias("dim")).count().where("dim > 0")
+    most = lengths.agg(F.max(F.struct("count", "dim")).alias("m")).select("m.dim").first()
+    return most.dim or 1
+
+
+def exact_top_k(queries: DataFrame, rows: DataFrame, k: int, exclude_self: bool = True, dim: int | None = None) -> DataFrame:
     """Rows (query_id, rank, match_id, similarity): the k rows most similar to each query, by cosine.
 
     queries and rows: id, embedding. Similarity is rounded to 6 decimals and equal ones rank by id. exclude_self leaves out
-    the row with the query's own id. Vectors that are null, zero or not finite, or of another length than most,
-    match nothing and are matched by nothing. Empty input gives no rows.
+    the row with the query's own id. Vectors that are null, zero or not finite, or not of ``dim`` numbers, match nothing
+    and are matched by nothing. Without dim it is the length that most of all rows have. Empty input gives no rows.
 
     Every task compares its rows with a block of queries and keeps only the k best of each; these meet per query.
     Queries beyond a block take another pass over the rows, so what is broadcast has a bound.
@@ -40,20 +46,21 @@ def exact_top_k(queries: DataFrame, rows: DataFrame, k: int, exclude_self: bool
     spark = rows.sparkSession
     asked = queries.where("id is not null and embedding is not null").select("id", "embedding")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    dim = dim or usual_length(rows)
     id_type = rows.schema["id"].dataType.simpleString()
     schema = f"query_id {id_type}, match_id {id_type}, similarity double"
     best = None
     for b in range(blocks):
         held = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()  # about QUERY_BLOCK rows
-        q, good = unit(held.embedding) if len(held) else (np.zeros((0, 1)), np.zeros(0, bool))
+        q, good = unit(held.embedding, dim) if len(held) else (np.zeros((0, dim)), np.zeros(0, bool))
         block = spark.sparkContext.broadcast((held.id.to_numpy()[good], q))
 
         def search(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
             ids, q = block.value
             for pdf in batches:
-                x, sound = unit(pdf.embedding)
+                x, sound = unit(pdf.embedding, dim)
                 own = pdf.id.to_numpy()[sound]
-                if not len(own) or not len(ids) or x.shape[1] != q.shape[1]:
+                if not len(own) or not len(ids):
                     continue
                 order = np.argsort(own, kind="stable")
                 x, own = x[order], own[order]

@@ -14,6 +14,8 @@ from tidemark.operators.ledger import hash_ranked
 from tidemark.session import table
 
 K = 10
+#: Numbers of a stored vector.
+DIM = 64
 EVERY = 20
 NEAR = 0.35
 SAMPLE = 200
@@ -132,7 +134,7 @@ def self_match_control(spark, sf_dir):
 def retrievability(spark, sf_dir):
     """Stored vectors, those of every twentieth write, that a search with their own vector finds within 5 and within 10."""
     stored = table(spark, sf_dir, "chunk_vectors").where("embedding is not null").select(F.col("row_seq").alias("id"), "embedding")
-    hits = exact_top_k(stored.where(TWENTIETH), stored, K, exclude_self=False)
+    hits = exact_top_k(stored.where(TWENTIETH), stored, K, exclude_self=False, dim=DIM)
     own = hits.where("query_id = match_id")
     return own.agg(F.sum((F.col("rank") <= 5).cast("int")).alias("in_top_5"), F.count("*").alias("in_top_10"))
 
@@ -143,7 +145,7 @@ def superseded_retrievable(spark, sf_dir):
     last = versions.where("doc_id is not null").groupBy("doc_id").agg(F.max("version_id").alias("last_version"))
     rows = table(spark, sf_dir, "chunk_vectors").select(F.col("row_seq").alias("id"), "chunk_id", "embedding").join(versions, "chunk_id")
     old = rows.where(TWENTIETH).join(last, "doc_id").where("version_id < last_version")
-    return retrievable(old, exact_top_k(old, rows, K, exclude_self=False), rows)
+    return retrievable(old, exact_top_k(old, rows, K, exclude_self=False, dim=DIM), rows)
 
 
 def embed_pages(spark, sf_dir):

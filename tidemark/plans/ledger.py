@@ -17,6 +17,8 @@ ERASED = 40
 NEAR_COPY = 0.98
 STORE = "pgvector"
 MOST_HITS = 10
+#: Numbers of a stored vector.
+DIM = 64
 
 
 class Tables:
@@ -206,7 +208,7 @@ def _still_found(t: Tables, targets: DataFrame) -> DataFrame:
     rows = cut_lineage(rows.join(t.held.where(F.col("engine") == STORE).select("chunk_id", F.lit(True).alias("is_held")), "chunk_id", "left"))
     held = rows.where("is_held")
     wanted = rows.join(targets.select("doc_id", F.col("last_chunked_version_id").alias("version_id")), ["doc_id", "version_id"], "left_semi")
-    return audit.retrievable(wanted, exact_top_k(wanted, held, MOST_HITS, exclude_self=False), held)
+    return audit.retrievable(wanted, exact_top_k(wanted, held, MOST_HITS, exclude_self=False, dim=DIM), held)
 
 
 def deleted_retrievable(spark, sf_dir):
