@@ -81,6 +81,15 @@ def test_odd_vectors_take_no_part(spark):
     assert top_similar(frame(spark, [*v]).limit(0), 5).count() == 0
 
 
+def test_few_usable_vectors_among_many_rows(spark, monkeypatch):
+    """The sample is drawn from raw rows, of which hardly any is usable here."""
+    monkeypatch.setattr(n, "SAMPLE", 2)
+    x = families(6, 3, 0.1, 10)
+    ids = [f"u{i:03d}" for i in range(len(x))]
+    rows = frame(spark, [*x, *[None] * 400], [*ids, *[f"n{i:03d}" for i in range(400)]])
+    assert lists(top_similar(rows, 5, 0.5)) == brute(ids, x, 5, 0.5)
+
+
 def test_latest_row_of_an_id_counts(spark):
     a, b, c = families(3, 1, 0, 5)
     got = lists(top_similar(frame(spark, [a, b, c, b], ["x", "y", "z", "x"]), 1, 0.5))

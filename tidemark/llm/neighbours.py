@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 DIM = 64
 #: Rows, at most about so many, to which the codebooks are fitted. Every row is indexed.
 SAMPLE = 32_768
+#: A smaller sample of raw rows is drawn again, from the usable vectors alone.
+LEAST_SAMPLE = 1024
 #: Most centroids of a half.
 MOST_CENTROIDS = 4096
 #: Cells that a query visits at most, and how much farther than the nearest one a cell may be, in squared distance.
@@ -255,6 +257,11 @@ def top_similar(vectors: DataFrame, k: int = 5, least: float = -1.0, visited: in
     few = vectors.where(F.pmod(F.xxhash64("chunk_id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
     picked = usable_vectors(few)
     sample = picked.dropDuplicates(["cls"]).select("embedding").toPandas().embedding  # about SAMPLE rows
+    if len(sample) < LEAST_SAMPLE and share < 1:
+        rows = classes.count()
+        share = min(1.0, max(SAMPLE, LEAST_SAMPLE) / max(1, rows))
+        drawn = classes.where(F.pmod(F.xxhash64("cls", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
+        sample = drawn.select("embedding").toPandas().embedding
     if not len(sample):
         return spark.createDataFrame([], "chunk_id string, place int, other string, similarity double")
     tables = spark.sparkContext.broadcast(fit_tables(unit_rows(np.stack(sample.to_numpy())).astype(np.float32), rows))
