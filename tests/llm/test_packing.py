@@ -2,12 +2,12 @@ import random
 
 import numpy as np
 
-from tidemark.llm.packing import BIN, non_negative_least_squares, pack, plan_containers, shallow_combinations
+from tidemark.llm.packing import non_negative_least_squares, pack, plan_containers, shallow_combinations
 
 
-def run(spark, sizes, capacity=2048):
+def run(spark, sizes, capacity=2048, **more):
     df = spark.createDataFrame([(f"i{k}", n, "x") for k, n in enumerate(sizes)], "item string, tokens bigint, container string")
-    rows = pack(df, capacity).collect()
+    rows = pack(df, capacity, **more).collect()
     pieces, load = {}, {}
     for r in rows:
         pieces.setdefault(r.item, {})[r.piece] = r.tokens
@@ -33,6 +33,20 @@ def test_odd_sizes(spark):
     run(spark, [1500] * 50)
 
 
+def test_capacities_that_are_no_multiple_of_a_bin(spark):
+    rng = random.Random(4)
+    for capacity in (1, 2, 3, 10, 513, 1001, 2050, 5000):
+        sizes = [capacity, capacity + 1, 3 * capacity, *(rng.randint(0, capacity) for _ in range(150))]
+        load = run(spark, sizes, capacity)
+        assert len(load) <= 1.25 * sum(max(1, n) for n in sizes) / capacity + 12
+
+
+def test_salts_grow_with_a_bin(spark):
+    sizes = [700] * 900 + [640] * 50
+    few, many = run(spark, sizes), run(spark, sizes, ranked_together=10)
+    assert sorted(few.values()) == sorted(many.values())
+
+
 def test_one_length_holds_most_items(spark):
     load = run(spark, [700] * 3000 + [640] * 1500 + [3] * 10)
     assert len(load) <= (3000 * 704 + 1500 * 640 + 80) / 2048 * 1.03 + 2
@@ -52,7 +66,7 @@ def test_plan_uses_up_the_histogram():
 
 def test_combinations_fill_a_container():
     m = shallow_combinations(64)
-    assert ((np.arange(1, 65) @ m) == 64).all() and len({tuple(c) for c in m.T}) == m.shape[1] and BIN == 4
+    assert ((np.arange(1, 65) @ m) == 64).all() and len({tuple(c) for c in m.T}) == m.shape[1]
 
 
 def test_least_squares_meets_its_conditions():

@@ -11,10 +11,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tokens per length bin: lengths are rounded up to it while planning, so that every planned container fits.
-BIN = 4
-#: Groups over which the items of one bin are ranked, so that a bin with a third of all items is no hot key.
-RANK_SALTS = 64
+#: Most length bins of a container. Lengths are rounded up to whole bins while planning, so that every planned container fits.
+BINS = 512
+#: Items ranked together, about: a bin with more of them is salted by its size, so that one with a third of all items is no hot key.
+RANKED_TOGETHER = 100_000
 
 
 def shallow_combinations(top: int, depth: int = 3) -> np.ndarray:
@@ -107,35 +107,41 @@ def pieces_of(sizes: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def pack(sizes: DataFrame, capacity: int = 2048) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int = 2048, ranked_together: int = RANKED_TOGETHER) -> DataFrame:
     """Rows (item, piece, tokens, container): every item once, whole unless it exceeds the capacity by itself.
 
     sizes: item (unique, any type), tokens. Null or negative sizes count as 0 and empty items are placed too.
-    No container holds more than the capacity. Which of several equally long items goes where follows from
-    the items' hashes alone. Empty input gives no rows; other columns are not used.
+    No container holds more than the capacity, whether or not that is a multiple of the bins' width; a piece that is longer
+    than all whole bins together has a container of its own. Which of several equally long items goes where follows
+    from the items' hashes alone. Empty input gives no rows; other columns are not used.
     """
+    if capacity < 1:
+        raise ValueError("a container must hold a token")
     spark = sizes.sparkSession
-    top = -(-capacity // BIN)
+    width = -(-capacity // BINS)
+    top = capacity // width
+    alone = top + 1
     clean = sizes.select("item", F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).cast("bigint").alias("tokens"))
-    length = F.least(F.lit(top), F.greatest(F.lit(1), F.ceil(F.col("tokens") / BIN))).cast("int")
-    pieces = (
-        pieces_of(clean, capacity)
-        .withColumn("bin", length)
-        .withColumn("salt", F.pmod(F.xxhash64("item", "piece"), F.lit(RANK_SALTS)).cast("int"))
-    )
-    counts = pieces.groupBy("bin", "salt").agg(F.count("*").alias("n"))
-    offsets = {}
-    histogram: dict[int, int] = {}
-    for r in sorted(counts.collect()):  # at most bins x salts rows, whatever the input
-        offsets[r["bin"], r["salt"]] = histogram.get(r["bin"], 0)
-        histogram[r["bin"]] = histogram.get(r["bin"], 0) + r["n"]
+    length = F.least(F.lit(alone), F.greatest(F.lit(1), F.ceil(F.col("tokens") / width))).cast("int")
+    pieces = pieces_of(clean, capacity).withColumn("bin", length)
+    histogram = {r["bin"]: r["n"] for r in pieces.groupBy("bin").agg(F.count("*").alias("n")).collect()}  # a row per bin
+    if not histogram:
+        return pieces.select("item", "piece", "tokens", F.lit(0).cast("bigint").alias("container"))
+    salts = F.create_map(*[F.lit(x) for b, n in histogram.items() for x in (b, -(-n // ranked_together))])
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("item", "piece"), salts[F.col("bin")]))
+    counts = pieces.groupBy("bin", "salt").agg(F.count("*").alias("n")).collect()  # a row per bin and some ``ranked_together`` items
+    offsets, seen = [], dict.fromkeys(histogram, 0)
+    for r in sorted(counts):
+        offsets.append((r["bin"], r["salt"], seen[r["bin"]]))
+        seen[r["bin"]] += r["n"]
     slots, used, container = [], dict.fromkeys(histogram, 0), 0
-    for bins, n in plan_containers(histogram, top) if histogram else []:
+    lone = histogram.pop(alone, 0)
+    for bins, n in [*plan_containers(histogram, top), *[({alone: 1}, lone)] * (lone > 0)]:
         for b, k in bins.items():
             slots.append((b, used[b], used[b] + n * k, k, container))
             used[b] += n * k
         container += n
-    starts = spark.createDataFrame([(b, s, o) for (b, s), o in offsets.items()], "bin int, salt int, before bigint")
+    starts = spark.createDataFrame(offsets, "bin int, salt bigint, before bigint")
     places = spark.createDataFrame(slots, "bin int, lo bigint, hi bigint, per bigint, base bigint")
     rank = F.row_number().over(Window.partitionBy("bin", "salt").orderBy(F.xxhash64("item", "piece"), "item", "piece")) - 1
     ranked = pieces.withColumn("rank", rank).join(F.broadcast(starts), ["bin", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
