@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import TOKEN, spaced_tokens, token_count
+from tidemark.llm.tokens import spaced_tokens, token_count, token_marks
 from tidemark.session import cut_lineage
 
 LIMIT = 512
@@ -34,11 +34,9 @@ def marked(text: Column) -> Column:
     Every pattern starts at the sign that ends a sentence or line, so that nothing else is tried at other places.
     """
     short = "|".join(re.escape(s) for s in SHORTENINGS)
-    t = F.translate(text, MARK, NEIGHBOUR)
-    t = F.regexp_replace(t, r"([.!?…][\"'”’)\]*_]{0,3}[ \t]{1,3})(?=[^\s\p{Ll}])", f"$1{MARK}")
-    t = F.regexp_replace(t, rf"(?i)(?<![\p{{L}}\p{{N}}])((?:{short})\.[ \t]{{1,3}}){MARK}", "$1")
-    t = F.regexp_replace(t, r"([。！？])(?=[^\s。！？])", f"$1{MARK}")
-    return F.regexp_replace(t, r"([\r\n])(?=[^\s])", f"$1{MARK}")
+    sentence = r"[.!?…][\"'”’)\]*_]{0,3}[ \t]{1,3}(?=[^\s\p{Ll}])"
+    begins = F.regexp_replace(F.translate(text, MARK, NEIGHBOUR), rf"{sentence}|[。！？](?=[^\s。！？])|[\r\n](?=[^\s])", f"$0{MARK}")
+    return F.regexp_replace(begins, rf"(?i)(\.[ \t]{{1,3}}){MARK}(?<=(?<![\p{{L}}\p{{N}}])(?:{short})\.[ \t]{{1,3}}{MARK})", "$1")
 
 
 ITEM = ("item_kind", "item_id")
@@ -50,7 +48,7 @@ def boundaries(items: DataFrame, step: int) -> DataFrame:
     Between natural boundaries more than ``step`` tokens apart, forced ones stand every ``step`` tokens.
     Only counts leave the rows, no text.
     """
-    counts = F.transform(F.split(marked(F.col("text")), MARK), lambda s: F.regexp_count(s, F.lit(TOKEN)))
+    counts = F.transform(F.split(token_marks(marked(F.col("text"))), MARK), F.length)
     each = items.select(*ITEM, F.posexplode(counts).alias("n", "tokens")).where("tokens > 0")
     node = F.sum("tokens").over(Window.partitionBy(*ITEM).orderBy("n"))
     ends = each.withColumn("node", node.cast("int"))
@@ -88,21 +86,24 @@ def successors(nodes: DataFrame, limit: int, overlap: int, leeway: int) -> DataF
 
 
 def greedy_cuts(table: DataFrame, rounds: int) -> DataFrame:
-    """(item, node): all nodes that the chain of successors from 0 passes, by squaring the successor table.
+    """(item, node, start): all nodes that the chain of successors from 0 passes, by squaring the successor table.
 
-    After round k the table leads 2^k cuts on, and the first 2^k cuts of every text are known.
-    Only nodes of texts still under way are carried on.
+    After round k the table leads 2^k cuts on, and the first 2^k cuts of every text are known. Both are settled in one
+    self-join and one aggregate: a node that is known to be a cut makes one of the node that it leads to.
     """
-    reached = table.where("node = 0").select(*ITEM, "node")
-    leap = table.select(*ITEM, "node", "next")
+    state = table.select(*ITEM, "node", "start", "next", (F.col("node") == 0).alias("is_cut"))
+    spot = lambda node, start, to, cut: F.struct(node.alias("node"), start.alias("start"), to.alias("next"), cut.alias("is_cut"))
+    nothing = F.lit(None).cast("int")
+    own = spot(F.col("node"), F.col("start"), F.coalesce("after", "next"), F.col("is_cut"))
+    led_to = F.when(F.col("is_cut"), F.array(spot(F.col("next"), nothing, nothing, F.lit(True)))).otherwise(F.array())
     for k in range(rounds):
-        reached = cut_lineage(reached.unionByName(reached.join(leap, [*ITEM, "node"]).select(*ITEM, F.col("next").alias("node"))).distinct())
-        if k == rounds - 1:
-            break
-        leap = leap.where("next > node")
-        then = leap.select(*ITEM, F.col("node").alias("next"), F.col("next").alias("after"))
-        leap = cut_lineage(leap.join(then, [*ITEM, "next"], "left").select(*ITEM, "node", F.coalesce("after", "next").alias("next")))
-    return reached
+        if k == rounds - 1:  # the table need not lead any farther
+            seen = state.withColumn("after", nothing)
+        else:
+            seen = state.join(state.select(*ITEM, F.col("node").alias("next"), F.col("next").alias("after")), [*ITEM, "next"], "left")
+        spots = seen.select(*ITEM, F.explode(F.concat(F.array(own), led_to)).alias("s")).select(*ITEM, "s.*")
+        state = cut_lineage(spots.groupBy(*ITEM, "node").agg(*[F.max(c).alias(c) for c in ("start", "next", "is_cut")]))
+    return state.where("is_cut").select(*ITEM, "node", "start")
 
 
 def split_oversized(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -116,7 +117,9 @@ def split_oversized(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
     A null text gives no piece; an empty or blank one gives one piece of 0 tokens. Of repeated ids
     one row counts, that with the greatest text. Empty input gives no rows; other columns are not used.
     """
-    one = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy(*ITEM).agg(F.max("text").alias("text"))
+    one = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(*ITEM, "text")
+    if one.groupBy(*ITEM).count().where("count > 1").take(1):  # texts move for it only where ids do repeat
+        one = one.groupBy(*ITEM).agg(F.max("text").alias("text"))
     sized = one.withColumn("tokens", token_count(F.col("text")))
     whole = sized.where(F.col("tokens") <= limit).select(
         *ITEM, F.lit(0).alias("piece"), F.lit(1).alias("pieces"), "text", F.col("tokens").alias("token_count"), F.lit(0).alias("overlap_tokens")
@@ -154,4 +157,4 @@ def oversized_cuts(oversized: DataFrame, limit: int = LIMIT, overlap: int = OVER
     longest = table.agg(F.max("node")).first()[0] or 0
     # two cuts in a row pass more than a step, or the first would have reached farther
     rounds = math.ceil(math.log2(2 * longest / step + 3))
-    return greedy_cuts(table, rounds).join(table.select(*ITEM, "node", "start"), [*ITEM, "node"])
+    return greedy_cuts(table, rounds)

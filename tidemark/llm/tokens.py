@@ -2,46 +2,23 @@
 
 from __future__ import annotations
 
-import base64
-from functools import lru_cache
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]"
 TOKEN_AND_SPACE = r"(?:[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n])[ \t\r\n]*"
 
 
+def token_marks(text: Column) -> Column:
+    """One character for each token of a text: the first of a run, or the single one."""
+    return F.regexp_replace(text, r"[ \t\r\n]+|([A-Za-z0-9_])[A-Za-z0-9_]*", "$1")
+
+
 def token_count(text: Column) -> Column:
-    """Tokens of a text; null counts as empty."""
-    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0))
+    """Tokens of a text; null counts as empty. No list of the tokens is made for it."""
+    return F.coalesce(F.length(token_marks(text)), F.lit(0))
 
 
 def spaced_tokens(text: Column) -> Column:
     """The tokens in order, each with the white space after it. White space before the first is not among them."""
     return F.regexp_extract_all(text, F.lit(TOKEN_AND_SPACE), F.lit(0))
-
-
-@lru_cache(maxsize=4)
-def _encoding(ranks_path: str, pattern: str):
-    import tiktoken
-
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
-def vocabulary_token_count(text: Column, ranks_path: str, pattern: str) -> Column:
-    """Tokens by a byte-pair vocabulary in tiktoken's rank format; its path, the same on all executors, and its split pattern are parameters.
-
-    Null and empty texts count 0; the strings of special tokens are ordinary text.
-    """
-
-    @F.pandas_udf(T.IntegerType())
-    def count(texts: pd.Series) -> pd.Series:
-        known = _encoding(ranks_path, pattern)
-        return texts.map(lambda t: len(known.encode_ordinary(t)) if t else 0)
-
-    return count(text)
