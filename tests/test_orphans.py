@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 import tidemark.operators.orphans as o
-from tidemark.operators.orphans import filter_words, orphan_references, orphan_report, split_by_filter
+from tidemark.operators.orphans import filter_shape, orphan_references, orphan_report, probed
 
 T = [dt.datetime(2024, m, 3) for m in range(1, 13)]
 CHILD, PARENT = "child_key string, ref string, at timestamp_ntz, kind string", "parent_key string, is_deleted boolean, first_at timestamp_ntz, ref string"
@@ -19,7 +19,7 @@ WANT = {("gone", "missing", "2024-06"), ("deleted", "deleted", "2024-06"), ("lat
 
 @pytest.mark.parametrize("most", [o.MOST_WORDS, 1])
 def test_kinds_and_periods(spark, monkeypatch, most):
-    """The same with the filter and, beyond its bound, without."""
+    """The same with one filter and with several."""
     monkeypatch.setattr(o, "MOST_WORDS", most)
     got = orphan_references(spark.createDataFrame(CHILDREN, CHILD), spark.createDataFrame(PARENTS, PARENT), "t", "f").collect()
     assert {(r.child_key, r.kind, r.period) for r in got} == WANT and len(got) == len(WANT)
@@ -34,10 +34,18 @@ def test_empty_tables(spark):
     assert sum(r.refs for r in orphan_report(alone).collect()) == 7
 
 
-def test_filter_never_loses_a_parent_and_proves_most_orphans(spark):
+@pytest.mark.parametrize("most", [o.MOST_WORDS, 400])
+def test_filters_never_lose_a_parent_and_prove_most_orphans(spark, monkeypatch, most):
+    monkeypatch.setattr(o, "MOST_WORDS", most)
+    assert (filter_shape(5000)[0] > 1) == (most == 400)
     parents = spark.range(0, 5000).selectExpr("concat('k', id) as parent_key")
-    children = spark.range(0, 20000).selectExpr("concat('k', id) as ref")
-    surely, maybe = split_by_filter(children, "ref", parents, "parent_key", 5000)
-    sure = {int(r.ref[1:]) for r in surely.collect()}
-    assert min(sure) >= 5000 and len(sure) > 0.93 * 15000 and maybe.count() + len(sure) == 20000
-    assert filter_words(10**12) is None and filter_words(0) == 64
+    children = spark.range(0, 20000).selectExpr("concat('k', id) as ref", "id as _row_")
+    rows = probed(children, "ref", parents, "parent_key", 5000).collect()
+    sure = {r._row_ for r in rows if not r.maybe}
+    assert len(rows) == 20000 and min(sure) >= 5000 and len(sure) > 0.93 * 15000
+
+
+def test_one_filter_has_a_bound():
+    for n in (0, 1, 10**6, 10**9, 10**12):
+        filters, rows = filter_shape(n)
+        assert filters >= 1 and rows * o.ROW_WORDS <= o.MOST_WORDS + o.ROW_WORDS and filters * rows * o.ROW_WORDS * 64 >= n * o.BITS_PER_KEY

@@ -37,23 +37,29 @@ def arrays_close(a: Column, b: Column, tolerance: float) -> Column:
     return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(same)
 
 
-def latest_of_both(left: DataFrame, right: DataFrame, key: str, fields: list[Field], version: str | None) -> DataFrame:
-    """One row per key with the current row of each side as structs ``l`` and ``r``, null where a side lacks the key.
+def current_rows(df: DataFrame, key: str, row: Column, version: str | None) -> DataFrame:
+    """(_key, _row): of every key the row with the highest version, of equal ones the greatest row; rows without a key are ignored.
 
-    Both sides' rows meet in one shuffle on the key, after each map task has kept only its own newest row
-    of a key, so a key written a great many times moves a handful of rows.
+    Each task keeps only its own newest row of a key, so a key written a great many times moves a handful of rows.
     """
+    order = F.coalesce(F.col(version).cast("bigint"), F.lit(-(2**63))) if version else F.lit(0)
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.struct(order.alias("_order"), row.alias("_row")).alias("_won"))
+    return rows.groupBy("_key").agg(F.max("_won").alias("_won")).select("_key", F.col("_won._row").alias("_row"))
 
-    def side(df: DataFrame, s: str) -> DataFrame:
-        row = F.struct(*[f.of(s).alias(f.name) for f in fields]) if fields else F.struct(F.lit(1).alias("_"))
-        order = F.col(version) if version else F.lit(0)
-        return df.where(F.col(key).isNotNull()).select(
-            F.col(key).alias("_key"), F.lit(s).alias("_side"), order.cast("bigint").alias("_order"), row.alias("_row")
-        )
 
-    both = side(left, "l").unionByName(side(right, "r"))
-    pick = lambda s: F.max_by("_row", F.when(F.col("_side") == s, F.coalesce("_order", F.lit(-(2**63)))))
-    return both.groupBy("_key").agg(pick("l").alias("l"), pick("r").alias("r"))
+def signed_cells(df: DataFrame, key: str, fields: list[Field], version: str | None, side: str) -> DataFrame:
+    """(_key, field, value, numbers, sign) of one side: a row per field of every key's current row, and one for the row itself.
+
+    The left counts +1, the right -1. Values are compared as strings, arrays of numbers as they are.
+    """
+    row = F.struct(F.lit(1).alias("_"), *[f.of(side).alias(f.name) for f in fields])
+    rows = current_rows(df, key, row, version)
+    kind = next((rows.schema["_row"].dataType[f.name].dataType.simpleString() for f in fields if f.tolerance is not None), "array<double>")
+    nothing, none = F.lit(None).cast("string"), F.lit(None).cast(kind)
+    cell = lambda name, value, numbers: F.struct(F.lit(name).alias("field"), value.alias("value"), numbers.alias("numbers"))
+    of = lambda f: F.col("_row")[f.name]
+    cells = [cell(f.name, nothing, of(f)) if f.tolerance is not None else cell(f.name, of(f).cast("string"), none) for f in fields]
+    return rows.select("_key", F.explode(F.array(cell(ROW, nothing, none), *cells)).alias("c"), F.lit(1 if side == "l" else -1).alias("sign")).select("_key", "c.*", "sign")
 
 
 def diff_copies(
@@ -67,40 +73,28 @@ def diff_copies(
 ) -> DataFrame:
     """Rows (key, difference): keys that one side lacks, and each field whose value differs on both.
 
-    Both sides' current rows are unpivoted to key, field and value, the left with count +1, the right
-    with -1; a cell whose counts for every value sum to nought cancels. What remains is a difference.
-    Array fields with a tolerance are first brought to one spelling where an exact check finds them close.
+    Each side's current rows are unpivoted by themselves to key, field and value, the left with count +1, the right with -1.
+    Both are put together and grouped by key and field: a cell cancels if its counts sum to nought and its two values are equal or, for
+    arrays with a tolerance, close. What does not cancel is a difference: a whole row's cell shows a key that one side lacks, a field's a value that differs.
 
     Null equals null and differs from any value. Of several rows of one key that with the highest version
     counts. Rows with a null key are ignored. Empty sides give one difference per key of the other.
     Columns that are not named as fields play no part, whatever they are called.
     """
-    rows = latest_of_both(left, right, key, fields, version)
-
-    def token(f: Field, s: str) -> Column:
-        own = F.col(s)[f.name]
-        if f.tolerance is None:
-            return own.cast("string")
-        text = lambda c: F.xxhash64(c).cast("string")
-        if s == "l":
-            return F.when(own.isNotNull(), text(own))
-        near = arrays_close(F.col("l")[f.name], own, f.tolerance)
-        return F.when(own.isNull(), None).when(near, text(F.col("l")[f.name])).otherwise(F.concat(F.lit("other:"), text(own)))
-
-    def cells(s: str, sign: int) -> Column:
-        cell = lambda name, value: F.struct(F.lit(name).alias("field"), value.alias("value"), F.lit(sign).alias("sign"))
-        made = F.array(cell(ROW, F.lit("1")), *[cell(f.name, token(f, s)) for f in fields])
-        return F.when(F.col(s).isNotNull(), made).otherwise(F.array())
-
-    signed = rows.select("_key", F.explode(F.concat(cells("l", 1), cells("r", -1))).alias("c")).select("_key", "c.*")
-    net = signed.groupBy("_key", "field", "value").agg(F.sum("sign").alias("net")).where("net <> 0")
-    found = net.groupBy("_key").agg(
-        F.max(F.when(F.col("field") == ROW, F.col("net"))).alias("row_net"),
-        F.collect_set(F.when(F.col("field") != ROW, F.col("field"))).alias("fields"),  # at most one entry per compared field
-    )
+    cells = signed_cells(left, key, fields, version, "l").unionByName(signed_cells(right, key, fields, version, "r"))
+    own, other = F.col("sign") > 0, F.col("sign") < 0
+    exact = {f.name: f.tolerance for f in fields if f.tolerance is not None}
+    aggs = [F.sum("sign").alias("net"), F.max(F.when(own, F.col("value"))).alias("a"), F.max(F.when(other, F.col("value"))).alias("b")]
+    if exact:
+        aggs += [F.max(F.when(own, F.col("numbers"))).alias("x"), F.max(F.when(other, F.col("numbers"))).alias("y")]
+    met = cells.groupBy("_key", "field").agg(*aggs)
+    same = F.col("a").eqNullSafe(F.col("b"))
+    for name, tolerance in exact.items():
+        same = F.when(F.col("field") == name, arrays_close(F.col("x"), F.col("y"), tolerance)).otherwise(same)
+    # a key that one side lacks is told by its row's cell alone
     said = (
-        F.when(F.col("row_net") > 0, F.array(F.lit(right_lacks)))
-        .when(F.col("row_net") < 0, F.array(F.lit(left_lacks)))
-        .otherwise(F.col("fields"))
+        F.when((F.col("field") == ROW) & (F.col("net") > 0), right_lacks)
+        .when((F.col("field") == ROW) & (F.col("net") < 0), left_lacks)
+        .when((F.col("field") != ROW) & (F.col("net") == 0) & ~same, F.col("field"))
     )
-    return found.select(F.col("_key").alias(key), F.explode(said).alias("difference"))
+    return met.select(F.col("_key").alias(key), said.alias("difference")).where("difference is not null")

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most words of 64 bits that a filter may have: what is broadcast stays below some 50 MB whatever the parents' number.
-MOST_WORDS = 1 << 20
-BITS_PER_KEY = 16
+from tidemark.session import cut_lineage
 
-
-def _word(key: Column, words: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(words))
+#: Most words of 64 bits of one filter: what is broadcast at once stays below some 40 MB. More parents take more filters, one after another.
+MOST_WORDS = 1 << 22
+BITS_PER_KEY = 12
+#: Words that stand together in one row of a filter.
+ROW_WORDS = 64
 
 
 def _mask(key: Column) -> Column:
@@ -24,30 +25,47 @@ def _mask(key: Column) -> Column:
     return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
 
 
-def filter_words(parents: int) -> int | None:
-    """Words that a filter for so many parents takes; None if it would pass the bound."""
-    words = 1 << max(6, math.ceil(math.log2(max(1, parents) * BITS_PER_KEY / 64)))
-    return words if words <= MOST_WORDS else None
+def filter_shape(parents: int) -> tuple[int, int]:
+    """(filters, rows of each) for so many parents."""
+    words = max(1, math.ceil(parents * BITS_PER_KEY / 64))
+    filters = -(-words // MOST_WORDS)
+    return filters, -(-words // (filters * ROW_WORDS))
+
+
+def _placed(df: DataFrame, key: str, filters: int, rows: int) -> DataFrame:
+    """df with the filter, the row in it and the word in the row that a key's hash names."""
+    word = F.pmod(F.xxhash64(F.col(key)), F.lit(filters * rows * ROW_WORDS))
+    at = df.withColumn("_w", word)
+    return at.withColumns({"_filter": F.expr(f"_w div {rows * ROW_WORDS}"), "_row": F.expr(f"_w div {ROW_WORDS}"), "_at": (F.col("_w") % ROW_WORDS).cast("int")}).drop("_w")
 
 
-def bloom_filter(parents: DataFrame, key: str, words: int) -> DataFrame:
-    """A blocked Bloom filter as a table: each key sets four bits in the one word that its hash names."""
-    return parents.groupBy(_word(F.col(key), words).alias("_w")).agg(F.bit_or(_mask(F.col(key))).alias("_bits"))
+def bloom_filters(parents: DataFrame, key: str, filters: int, rows: int) -> DataFrame:
+    """Blocked Bloom filters as a table (_filter, _row, _bits): each key sets four bits in the one word that its hash names.
+
+    Words are packed ``ROW_WORDS`` to a row, so the table is hardly larger than its bits.
+    """
+    words = _placed(parents, key, filters, rows).groupBy("_filter", "_row", "_at").agg(F.bit_or(_mask(F.col(key))).alias("_word"))
+    packed = words.groupBy("_filter", "_row").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_word"))).alias("m"))  # ROW_WORDS at most
+    bits = F.transform(F.sequence(F.lit(0), F.lit(ROW_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint")))
+    return packed.select("_filter", "_row", bits.alias("_bits"))
 
 
-def split_by_filter(children: DataFrame, ref: str, parents: DataFrame, key: str, count: int) -> tuple[DataFrame | None, DataFrame]:
-    """(rows whose reference surely has no parent, rows that may have one).
+def probed(children: DataFrame, ref: str, parents: DataFrame, key: str, count: int) -> DataFrame:
+    """children with ``maybe``: false where the filters prove that the reference has no parent.
 
-    Beyond the bound no filter is built and every row goes to the exact join.
+    Parents beyond what one filter holds are shared out by hash among several of the same size; each child asks the one filter that could
+    hold its reference, and the filters are broadcast in turn, never together.
     """
-    words = filter_words(count)
-    if words is None:
-        return None, children
-    bits = F.broadcast(bloom_filter(parents, key, words))
-    probed = children.withColumn("_w", _word(F.col(ref), words)).join(bits, "_w", "left")
+    filters, rows = filter_shape(count)
     mask = _mask(F.col(ref))
-    maybe = F.coalesce(F.col("_bits").bitwiseAND(mask) == mask, F.lit(False))
-    return probed.where(~maybe).drop("_w", "_bits"), probed.where(maybe).drop("_w", "_bits")
+    maybe = F.coalesce(F.get("_bits", F.col("_at")).bitwiseAND(mask) == mask, F.lit(False))
+    asked = lambda df, bits: df.join(F.broadcast(bits.drop("_filter")), "_row", "left").withColumn("maybe", maybe).drop("_filter", "_row", "_at", "_bits")
+    placed, bits = _placed(children, ref, filters, rows), bloom_filters(parents, key, filters, rows)
+    if filters == 1:
+        return asked(placed, bits)
+    placed, bits = cut_lineage(placed), cut_lineage(bits)
+    parts = [cut_lineage(asked(placed.where(F.col("_filter") == i), bits.where(F.col("_filter") == i))) for i in range(filters)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def orphan_references(children: DataFrame, parents: DataFrame, child_table: str, child_field: str) -> DataFrame:
@@ -71,14 +89,13 @@ def orphan_references(children: DataFrame, parents: DataFrame, child_table: str,
     parents = parents.where(F.col("parent_key").isNotNull()).select("parent_key", "is_deleted", "first_at")
     count = parents.count()
     none = slim.where(F.col("ref").isNull())
-    surely, maybe = split_by_filter(slim.where(F.col("ref").isNotNull()), "ref", parents, "parent_key", count)
+    asked = probed(slim.where(F.col("ref").isNotNull()), "ref", parents, "parent_key", count)
+    surely, maybe = asked.where(~F.col("maybe")), asked.where("maybe")
     facts = lambda df, missing, deleted, first: df.select("child_key", "at", missing.alias("missing"), deleted.alias("deleted"), first.alias("first_at"))
     never = F.lit(None).cast("timestamp_ntz")
     exact = maybe.join(parents, maybe["ref"] == parents["parent_key"], "left")
     checked = facts(exact, F.col("parent_key").isNull(), F.coalesce("is_deleted", F.lit(False)), F.col("first_at"))
-    checked = checked.unionByName(facts(none, F.lit(False), F.lit(False), never))
-    if surely is not None:
-        checked = checked.unionByName(facts(surely, F.lit(True), F.lit(False), never))
+    checked = checked.unionByName(facts(none, F.lit(False), F.lit(False), never)).unionByName(facts(surely, F.lit(True), F.lit(False), never))
     per_key = checked.groupBy("child_key").agg(
         F.max("missing").alias("missing"), F.max("deleted").alias("deleted"), F.max("first_at").alias("first_at"), F.min("at").alias("at")
     )
