@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidemark.llm.leaks import BLOCKS, RADIUS, WINDOW, build_index, find_leaks, leak_shares, near_windows, passages
+from tidemark.llm.leaks import BLOCKS, RADIUS, WINDOW, build_index, find_leaks, leak_shares, near_windows, passages, shared_instructions
 from tidemark.llm.words import hash_words, plain_words
 
 RNG = random.Random(11)
@@ -70,12 +70,37 @@ def test_empty_tables(spark):
     assert leak_shares(docs, spark.createDataFrame([(1, "Why?"), (2, "")], "item_id bigint, text string")).count() == 0
 
 
-def test_passages_leave_out_questions_and_instructions():
-    own = passages(pd.DataFrame(ITEMS, columns=["item_id", "text"]))
+def own_passages(spark, rows):
+    pdf = pd.DataFrame([(i, "s", t) for i, t in rows], columns=["item_id", "suite", "text"])
+    return passages(pdf, shared_instructions(spark.createDataFrame(pdf)))
+
+
+def test_passages_leave_out_questions_and_instructions(spark):
+    own = own_passages(spark, ITEMS)
     for i, c in enumerate(CLEAN):
         assert (own[i] == hash_words(plain_words(c))[0]).all()
 
 
+def test_a_passage_that_many_items_share_is_kept(spark):
+    rows = [(i, f"Read the passage and answer. {CLEAN[i // 3]} Question: what is {i}?") for i in range(9)]
+    own = own_passages(spark, rows)
+    for i in range(9):
+        assert (own[i] == hash_words(plain_words(CLEAN[i // 3]))[0]).all()
+    assert set(own_passages(spark, rows[:3])) == {0, 1, 2}  # one passage alone
+    only = own_passages(spark, [(100 + i, "Read the passage and answer.") for i in range(4)] + rows)
+    assert all(len(only[100 + i]) == 5 for i in range(4))
+
+
+def test_blocks_of_items_make_no_difference(spark):
+    # neighbours share a sentence, so that counts differ from block to block
+    shared = [(i, f"Read the passage and answer. {CLEAN[i]} {sentences_of((i + 1) % 20, 0, 1)} Question: why {i}?") for i in range(20)]
+    names = list(PAGES)
+    docs = spark.createDataFrame([(k, PAGES[n][0], "clash") for k, n in enumerate(names)], DOCS)
+    items = spark.createDataFrame(shared, "item_id bigint, text string")
+    one, three, many = ({tuple(r) for r in leak_shares(docs, items, n).collect()} for n in (100, 7, 1))
+    assert one == three == many and len(one) > 10
+
+
 def test_blocks_find_every_fingerprint_within_the_radius():
     index = build_index(pd.DataFrame(ITEMS, columns=["item_id", "text"]))
     rng = np.random.default_rng(2)

@@ -1,15 +1,16 @@
 """Held-out passages inside a corpus: SimHash of passage-sized windows, Hamming blocks, exact check.
 
 The items are few and their number is fixed, so their windows' fingerprints are an index that every task holds;
-more items are looked for block by block. The corpus is read once and nothing of it is shuffled.
+more items are looked for block by block. What is an instruction and what a word weighs is settled over all items first, so that
+the blocks make no difference. The corpus is read once a block and nothing of it is shuffled.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import hash_words, plain_words, slices
+from tidemark.session import cut_lineage
 
 #: Words in a window, about the length of a sentence of a passage.
 WINDOW = 10
@@ -31,10 +33,11 @@ SIMILAR = 0.5
 SHIFT = 3
 #: Least share of the passage's words.
 SHARE = 0.4
-#: A sentence in so many items is an instruction.
+#: A sentence is an instruction if it stands with at least so many different passages, and so great a part of the suite's.
 INSTRUCTION_FROM = 3
-#: Items in one index.
-ITEMS_PER_BLOCK = 5000
+INSTRUCTION_SHARE = 0.05
+#: Items in one index, about 4 KB each.
+ITEMS_PER_BLOCK = 10_000
 
 _LABEL = re.compile(r"\b(?:question|passage|context|answer|note)\s*:", re.IGNORECASE)
 
@@ -43,12 +46,81 @@ def sentences(text: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?])\s+|[\r\n]+", _LABEL.sub("\n", text)) if s.strip()]
 
 
-def passages(items: pd.DataFrame) -> dict[int, np.ndarray]:
-    """Each item's passage as word hashes, without questions and without what stands in several items of the set."""
-    split = {i: [s for s in sentences(t or "") if not s.rstrip().endswith("?")] for i, t in zip(items.item_id, items.text, strict=True)}
-    seen = Counter(key for own in split.values() for key in {plain_words(s) for s in own})
-    kept = {i: " ".join(s for s in own if seen[plain_words(s)] < INSTRUCTION_FROM) for i, own in split.items()}
-    return {i: h for i, t in kept.items() if len(h := hash_words(plain_words(t))[0])}
+def told(text: str | None) -> list[tuple[int, str]]:
+    """(key, sentence) of a text's sentences that are no questions; equally worded ones have equal keys."""
+    said = [x for x in sentences(text or "") if not x.rstrip().endswith("?")]
+    return [(int.from_bytes(blake2b(b" ".join(plain_words(x).split()), digest_size=8).digest(), "little", signed=True), x) for x in said]
+
+
+def shared_instructions(items: DataFrame) -> frozenset[tuple[str, int]]:
+    """(suite, key) of the sentences that stand in front of, or after, many different passages of a suite.
+
+    items: item_id, suite, text. A passage that several items share, each with a question of its own, is none, however many they are:
+    its sentences always stand with the same others. There are at most 1 / INSTRUCTION_SHARE such keys for each sentence of an item.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for suite, text in zip(pdf.suite, pdf.text, strict=True):
+                own = {k for k, _ in told(text)}
+                whole = sum(own)
+                out += [(suite, k, (whole - k) % (1 << 62), whole % (1 << 62)) for k in own]
+            yield pd.DataFrame(out, columns=["suite", "key", "others", "whole"])
+
+    each = items.select("suite", "text").mapInPandas(rows, "suite string, key bigint, others bigint, whole bigint")
+    stands = each.groupBy("suite", "key").agg(F.countDistinct("others").alias("n")).where(F.col("n") >= INSTRUCTION_FROM)
+    all_of = each.groupBy("suite").agg(F.countDistinct("whole").alias("n_all"))
+    found = stands.join(all_of, "suite").where(F.col("n") >= INSTRUCTION_SHARE * F.col("n_all"))
+    return frozenset((r["suite"], r["key"]) for r in found.select("suite", "key").collect())
+
+
+def passages(items: pd.DataFrame, instructions: frozenset[tuple[str, int]] = frozenset()) -> dict[int, np.ndarray]:
+    """Each item's passage as word hashes, without questions and instructions. What is all instruction stays whole."""
+    suites = items.suite if "suite" in items else [""] * len(items)
+    out = {}
+    for i, suite, text in zip(items.item_id, suites, items.text, strict=True):
+        own = told(text)
+        kept = [x for k, x in own if (suite, k) not in instructions] or [x for _, x in own]
+        words = hash_words(plain_words(" ".join(kept)))[0]
+        if len(words):
+            out[i] = words
+    return out
+
+
+@dataclass
+class Vocabulary:
+    """The words of all passages with their weights: the fewer passages have one, the more it weighs."""
+
+    known: np.ndarray  # sorted hashes
+    weight: np.ndarray
+    unknown: float  # weight of other words, between those of common and rare ones
+
+    @staticmethod
+    def of(known: np.ndarray, in_items: np.ndarray, n_items: int) -> Vocabulary:
+        return Vocabulary(known, np.log1p(n_items / in_items), float(np.log1p(n_items**0.5)))
+
+    @staticmethod
+    def of_passages(own: dict[int, np.ndarray]) -> Vocabulary:
+        return Vocabulary.of(*np.unique(np.concatenate([np.unique(w) for w in own.values()]), return_counts=True), len(own))
+
+
+def vocabulary_of(items: DataFrame, instructions: frozenset[tuple[str, int]]) -> Vocabulary | None:
+    """The vocabulary of all items' passages, counted by Spark; what reaches the driver are the different words, 16 bytes each."""
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = passages(pdf, instructions)
+            # a row without a word stands for the passage itself
+            yield pd.DataFrame({"word": [x for w in own.values() for x in (None, *np.unique(w).view(np.int64).tolist())]}, dtype=object)
+
+    counted = items.mapInPandas(words, "word bigint").groupBy("word").agg(F.count("*").alias("n")).select(F.coalesce("word", F.lit(0)).alias("word"), "n", F.col("word").isNull().alias("whole")).toPandas()
+    if not len(counted):
+        return None
+    real = counted[~counted.whole]
+    word = real.word.to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(word)
+    return Vocabulary.of(word[order], real.n.to_numpy()[order], int(counted.n[counted.whole].sum()))
 
 
 def fingerprints(words: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -63,9 +135,7 @@ class ItemIndex:
     ids: np.ndarray
     words: np.ndarray  # of all passages, one after another
     first: np.ndarray  # of each passage, and the end
-    known: np.ndarray  # sorted distinct words
-    weight: np.ndarray  # of each known word
-    unknown: float  # weight of other words, between those of common and rare ones
+    vocabulary: Vocabulary
     item: np.ndarray  # of each window
     offset: np.ndarray  # first word of each window within its passage
     prints: np.ndarray
@@ -73,19 +143,21 @@ class ItemIndex:
     upto: np.ndarray  # by block and value, where it begins in order
 
     def weights_of(self, words: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
-        return np.where(self.known[at] == words, self.weight[at], -self.unknown).astype(np.float32)
+        """Of words that no passage has, the weight with a minus."""
+        v = self.vocabulary
+        at = np.minimum(np.searchsorted(v.known, words), len(v.known) - 1)
+        return np.where(v.known[at] == words, v.weight[at], -v.unknown).astype(np.float32)
 
 
-def build_index(items: pd.DataFrame) -> ItemIndex | None:
-    own = passages(items)
+def build_index(items: pd.DataFrame, instructions: frozenset[tuple[str, int]] = frozenset(), vocabulary: Vocabulary | None = None) -> ItemIndex | None:
+    """The index of a block of items; without a vocabulary of all items it has that of its own."""
+    own = passages(items, instructions)
     if not own:
         return None
+    v = vocabulary or Vocabulary.of_passages(own)
     ids = np.array(sorted(own), dtype=np.int64)
     words = np.concatenate([own[i] for i in ids])
     first = np.cumsum([0, *(len(own[i]) for i in ids)])
-    known, in_items = np.unique(np.concatenate([np.unique(own[i]) for i in ids]), return_counts=True)
-    weight = np.log1p(len(ids) / in_items)
     size = np.diff(first)
     width = np.minimum(size, WINDOW)
     item = np.repeat(np.arange(len(ids)), size - width + 1)
@@ -93,11 +165,11 @@ def build_index(items: pd.DataFrame) -> ItemIndex | None:
     at = first[item][:, None] + offset[:, None] + np.arange(WINDOW)
     inside = np.arange(WINDOW) < width[item][:, None]
     taken = words[np.minimum(at, len(words) - 1)]
-    prints = fingerprints(taken, np.where(inside, weight[np.searchsorted(known, taken)], 0).astype(np.float32))
+    prints = fingerprints(taken, np.where(inside, v.weight[np.searchsorted(v.known, taken)], 0).astype(np.float32))
     blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
-    order = np.argsort(blocks, axis=0, kind="stable").T
+    order = np.argsort(blocks, axis=0, kind="stable").T.astype(np.int32)
     upto = np.stack([np.searchsorted(blocks[order[b], b], np.arange(257)) for b in range(BLOCKS)])
-    return ItemIndex(ids, words, first, known, weight, float(np.log1p(len(ids) ** 0.5)), item, offset, prints, order, upto)
+    return ItemIndex(ids, words, first, v, item.astype(np.int32), offset.astype(np.int32), prints, order, upto)
 
 
 def near_windows(index: ItemIndex, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -128,7 +200,7 @@ def covered_words(index: ItemIndex, item: int, text: np.ndarray, shift: int) ->
         return np.zeros(n, bool)
     pad[lo - (shift - SHIFT) : hi - (shift - SHIFT)] = text[lo:hi]
     same = np.stack([pad[s : s + n] == own for s in range(2 * SHIFT + 1)])
-    weight = index.weight[np.searchsorted(index.known, own)]
+    weight = index.vocabulary.weight[np.searchsorted(index.vocabulary.known, own)]
     pair = (same[:, :-1] & same[:, 1:]).any(axis=0) if n > 1 else same.any(axis=0)
     value = weight[:-1] + weight[1:] if n > 1 else weight
     width = min(WINDOW - 1, len(value))
@@ -182,21 +254,25 @@ def leaks_in(index: ItemIndex, texts: pd.Series) -> Iterator[tuple[int, int, flo
                 yield begin + t, int(index.ids[i]), float(got.mean())
 
 
-def leak_shares(documents: DataFrame, items: DataFrame) -> DataFrame:
+def leak_shares(documents: DataFrame, items: DataFrame, items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
     """Rows (doc_id, item_id, share): pages with any verified window of an item's passage, and how much of it they hold.
 
-    documents: doc_id, text. items: item_id, text; of repeated item ids the greatest text counts.
+    documents: doc_id, text. items: item_id, text, suite (may be absent); of repeated item ids the greatest text counts.
     Null and empty texts, and items without a passage, give nothing; so do empty tables. Repeated documents give
     repeated rows. Letter case, markup, entities, accents, lookalike and invisible characters make no difference.
-    Items are indexed in blocks of fixed size, each of which is one pass over the documents.
+    Items are indexed in blocks, each of which is one pass over the documents; the result is the same for any size of the blocks.
     """
     spark = documents.sparkSession
-    slim = items.where("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text"))
-    blocks = -(-slim.count() // ITEMS_PER_BLOCK)
+    suite = F.coalesce(F.col("suite").cast("string"), F.lit("")) if "suite" in items.columns else F.lit("")
+    slim = items.where("item_id is not null and text is not null").select("item_id", suite.alias("suite"), "text")
+    slim = cut_lineage(slim.groupBy("item_id").agg(F.max(F.struct("text", "suite")).alias("x")).select("item_id", "x.*"))
+    instructions = shared_instructions(slim)
+    vocabulary = vocabulary_of(slim, instructions)
+    blocks = -(-slim.count() // items_per_block)
     out = None
-    for b in range(blocks):
-        part = slim.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toPandas()  # about ITEMS_PER_BLOCK rows
-        index = spark.sparkContext.broadcast(build_index(part))
+    for b in range(blocks if vocabulary else 0):
+        part = slim.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toPandas()  # about items_per_block rows
+        index = spark.sparkContext.broadcast(build_index(part, instructions, vocabulary))
 
         def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for pdf in batches:
