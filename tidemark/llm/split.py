@@ -35,7 +35,8 @@ def marked(text: Column) -> Column:
     """
     short = "|".join(re.escape(s) for s in SHORTENINGS)
     sentence = r"[.!?…][\"'”’)\]*_]{0,3}[ \t]{1,3}(?=[^\s\p{Ll}])"
-    begins = F.regexp_replace(F.translate(text, MARK, NEIGHBOUR), rf"{sentence}|[。！？](?=[^\s。！？])|[\r\n](?=[^\s])", f"$0{MARK}")
+    own = F.when(text.contains(MARK), F.translate(text, MARK, NEIGHBOUR)).otherwise(text)
+    begins = F.regexp_replace(own, rf"{sentence}|[。！？](?=[^\s。！？])|[\r\n](?=[^\s])", f"$0{MARK}")
     return F.regexp_replace(begins, rf"(?i)(\.[ \t]{{1,3}}){MARK}(?<=(?<![\p{{L}}\p{{N}}])(?:{short})\.[ \t]{{1,3}}{MARK})", "$1")
 
 
