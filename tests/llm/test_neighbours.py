@@ -96,15 +96,39 @@ def test_latest_row_of_an_id_counts(spark):
     assert got == {"x": ["y"], "y": ["x"]}
 
 
-def test_a_family_too_large_for_one_cell_gets_a_finer_index(spark, monkeypatch):
-    monkeypatch.setattr(n, "GROUP_ROWS", 200)
-    monkeypatch.setattr(n, "MOST_CENTROIDS", 2)
-    x = np.concatenate([families(1, 1500, 0.08, 6), families(700, 1, 0, 7)])
+def test_a_family_too_large_for_one_cell_gets_a_finer_index(monkeypatch):
+    monkeypatch.setattr(n, "FULL_CELL", 200)
+    x = np.concatenate([families(1, 1500, 0.0005, 6), families(1700, 1, 0, 7)])
     unit = n.unit_rows(x).astype(np.float32)
-    index = n.fit(unit, len(unit), np.random.default_rng(1), [0, 0])
-    assert index.finer
-    own = [c for _, c, _, mine in n.visits(index, unit, 16) if mine]
-    assert len(own) == len(x) and pd.Series(own).value_counts().max() <= 220
+    index = n.fit(unit, np.random.default_rng(1), [0])
+    own = n.own_cells(index, unit)
+    assert index.finer and pd.Series(own).value_counts().max() <= 200
+    row, cell = n.visits(index, unit, 16)
+    assert set(zip(range(len(x)), own.tolist(), strict=True)) <= set(zip(row.tolist(), cell.tolist(), strict=True))
+
+
+def test_a_third_of_all_rows_in_one_family_are_split_by_count(spark, monkeypatch):
+    """The family's group is split, and the guests of the rest are shared out, without a loss."""
+    x = np.concatenate([families(1, 700, 0.02, 6), families(450, 3, 0.3, 7)])
+    ids = [f"c{i:05d}" for i in range(len(x))]
+    monkeypatch.setattr(n, "GROUP_ROWS", 100)
+    monkeypatch.setattr(n, "FULL_GROUP", 200)
+    df = frame(spark, x, ids)
+    raw = df.selectExpr("xxhash64(embedding) as cls", "embedding")
+    start = n.k_means(n.unit_rows(x).astype(np.float32)[::7], 4, np.random.default_rng(1))
+    centroids, parts = n.balanced_groups(raw, start, np.random.default_rng(1))
+    own, guests = n.groups_of(raw, centroids)
+    assert len(centroids) > 4 and own.max() <= 230 and parts.max() > 1 and (guests <= 200 * parts).all()
+    got, want = ({(a, b) for a, o in d.items() for b in o} for d in (lists(top_similar(df, 5, 0.85)), brute(ids, x, 5, 0.85)))
+    away = {p for p in want if p[0] >= "c00700"}
+    assert len(got & away) >= 0.98 * len(away) and len(got & want) >= 0.9 * len(want)
+
+
+def test_ids_beyond_ascii_rank_by_their_bytes(spark):
+    base = families(1, 1, 0, 11)
+    x = np.concatenate([base, base, base, base, families(1, 1, 0, 12)])
+    ids = ["ü", "z", "日", "a", "ß"]
+    assert lists(top_similar(frame(spark, x, ids), 2, 0.9)) == {"a": ["z", "ü"], "z": ["a", "ü"], "ü": ["a", "z"], "日": ["a", "z"]}
 
 
 def test_heap_order():

@@ -1,11 +1,9 @@
-"""The most similar stored vectors of every vector, by an inverted multi-index.
+"""The most similar stored vectors of every vector, by inverted multi-indexes.
 
-The two halves of a vector are quantised apart, so that few centroids make many cells. A query visits the cells,
-pairs of centroids, in the order of their summed distances, and its candidates are reranked by exact similarity.
-Cells are spread over tasks by groups of neighbouring first-half centroids, so a vector travels once for its own
-group and once for each further group in which it visits cells. As cells get finer with the number of vectors, a
-neighbour is more often across a border; so there are several tables, each of the vectors under another rotation,
-and what one of them parts another finds. That ships far less than visits that go as far in one table alone.
+A vector travels to the group of the centroid nearest to it, and as a guest to the few groups whose centroids are hardly farther.
+Each group holds an inverted multi-index of its own rows: the two halves of a vector are quantised apart, so that few centroids make many
+cells; a query, member or guest, visits the cells, pairs of centroids, in the order of their summed distances, and its candidates are reranked
+by exact similarity. Groups are kept to a size by counting all rows, not by a guess, so the indexes are as fine for any number of vectors.
 
 Equal vectors are one class with one representative in the index; whoever is similar to it is similar to all.
 """
@@ -18,38 +16,41 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIM = 64
-#: Rows, at most about so many, to which the codebooks are fitted. Every row is indexed.
+#: Rows, at most about so many, to which the groups' centroids are fitted. Every row is indexed.
 SAMPLE = 32_768
 #: A smaller sample of raw rows is drawn again, from the usable vectors alone.
 LEAST_SAMPLE = 1024
-#: Most centroids of a half.
-MOST_CENTROIDS = 4096
-#: Cells that a query visits at most, and how much farther than the nearest one a cell may be, in squared distance.
+#: Rows aimed at for a group, and those beyond which it is split, or its guests shared out.
+GROUP_ROWS = 8192
+FULL_GROUP = 4 * GROUP_ROWS
+#: Most groups that are fitted at once; splitting makes more.
+MOST_GROUPS = 4096
+SPLIT_ROUNDS = 4
+#: Groups to which a vector travels at most, its own included, and how much farther than the nearest one a group may be, in squared distance.
+ROUTES = 6
+ROUTE_MARGIN = 0.06
+#: Cells that a query visits at most in a group, and how much farther than the nearest one a cell may be, in squared distance.
 VISITS = 32
 MARGIN = 0.12
-#: Tables, and groups of each, its own included, to which a vector travels.
-TABLES = 3
-GROUPS = 2
-#: Root of the rows expected in a cell.
+#: Root of the rows expected in a cell. A cell with more than FULL_CELL gets an index of its own.
 ROOT_OF_CELL = 3.0
-#: A cell expected to hold more rows gets an index of its own. A group of cells, searched by one task, aims at FOLD times as many.
-GROUP_ROWS = 8192
-FOLD = 4
-#: Pairs compared at once.
+FULL_CELL = 2048
+#: Rows of a group to which its codebooks are fitted, pairs compared at once, and pairs held until the best of each query are picked.
+FIT_ROWS = 16_384
 PAIRS = 1 << 18
+HELD_PAIRS = 1 << 22
 
 
 @dataclass
 class Index:
-    """Codebooks of both halves; cells expected to be too full lead on to finer ones."""
+    """Codebooks of both halves; cells that are too full lead on to finer ones."""
 
     first: np.ndarray
     second: np.ndarray
-    group: np.ndarray  # of each first-half centroid
     base: int  # number of the first cell
     finer: dict[int, Index] = field(default_factory=dict)
 
@@ -69,32 +70,33 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) ->
     return c
 
 
-def fit(sample: np.ndarray, rows: float, rng: np.random.Generator, taken: list[int]) -> Index:
-    """An index for about so many rows, of which ``sample`` is a fair part. taken: cells and groups numbered so far."""
+def half_cells(index: Index, unit: np.ndarray) -> np.ndarray:
+    half = DIM // 2
+    return nearest(unit[:, :half], index.first).argmin(1) * len(index.second) + nearest(unit[:, half:], index.second).argmin(1)
+
+
+def fit(unit: np.ndarray, rng: np.random.Generator, taken: list[int], depth: int = 0) -> Index:
+    """An index of these rows. taken: cells numbered so far."""
     half = DIM // 2
-    k = int(np.clip(rows**0.5 / ROOT_OF_CELL, 1, min(MOST_CENTROIDS, max(1, len(sample) // 4))))
-    first, second = k_means(sample[:, :half], k, rng), k_means(sample[:, half:], k, rng)
-    groups = int(np.clip(rows / (FOLD * GROUP_ROWS), 1, len(first)))
-    group = nearest(first, k_means(first, groups, rng)).argmin(1)
-    index = Index(first, second, group + taken[1], taken[0])
-    taken[0] += len(first) * len(second)
-    taken[1] += groups
-    cell = nearest(sample[:, :half], first).argmin(1) * len(second) + nearest(sample[:, half:], second).argmin(1)
+    drawn = unit if len(unit) <= FIT_ROWS else unit[rng.choice(len(unit), FIT_ROWS, replace=False)]
+    k = int(max(1, len(unit) ** 0.5 / ROOT_OF_CELL))
+    index = Index(k_means(drawn[:, :half], k, rng), k_means(drawn[:, half:], k, rng), taken[0])
+    taken[0] += len(index.first) * len(index.second)
+    cell = half_cells(index, unit)
     for c, n in zip(*np.unique(cell, return_counts=True), strict=True):
-        within = rows * n / len(sample)
-        if within > GROUP_ROWS and n >= 64 and n < len(sample):
-            index.finer[int(c)] = fit(sample[cell == c], within, rng, taken)
+        if FULL_CELL < n < len(unit) and depth < 8:
+            index.finer[int(c)] = fit(unit[cell == c], rng, taken, depth + 1)
     return index
 
 
-def fit_tables(sample: np.ndarray, rows: float) -> list[tuple[np.ndarray, Index]]:
-    """(rotation, index) of every table, the first without rotation; one table where all rows lie in one cell."""
-    rng, taken = np.random.default_rng(7), [0, 0]
-    tables = [(np.eye(DIM, dtype=np.float32), fit(sample, rows, rng, taken))]
-    while taken[0] > 1 and len(tables) < TABLES:
-        rotation = np.linalg.qr(rng.normal(size=(DIM, DIM)))[0].astype(np.float32)
-        tables.append((rotation, fit(sample @ rotation, rows, rng, taken)))
-    return tables
+def own_cells(index: Index, unit: np.ndarray) -> np.ndarray:
+    """The cell in which each row is stored."""
+    cell = half_cells(index, unit)
+    out = index.base + cell
+    for c, finer in index.finer.items():
+        inside = cell == c
+        out[inside] = own_cells(finer, unit[inside])
+    return out
 
 
 def cells_by_heap(a: list[float], b: list[float], most: int) -> list[tuple[int, int]]:
@@ -111,14 +113,8 @@ def cells_by_heap(a: list[float], b: list[float], most: int) -> list[tuple[int,
     return out
 
 
-def visits(index: Index, unit: np.ndarray, most: int) -> Iterator[tuple[int, int, int, bool]]:
-    """(row, cell, group, whether it is the row's own cell) of all cells that the rows visit."""
-    for row, cell, group, place in placed_visits(index, unit, most):
-        yield row, cell, group, place == 0
-
-
-def placed_visits(index: Index, unit: np.ndarray, most: int) -> Iterator[tuple[int, int, int, float]]:
-    """(row, cell, group, place) of all cells that the rows visit, in no order; a row's own cell has place 0, the next nearest a higher one."""
+def visits(index: Index, unit: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of all cells that the rows visit."""
     half, width = DIM // 2, len(index.second)
     lists = []
     for x, c in ((unit[:, :half], index.first), (unit[:, half:], index.second)):
@@ -128,23 +124,34 @@ def placed_visits(index: Index, unit: np.ndarray, most: int) -> Iterator[tuple[i
         kept = np.take_along_axis(d, top, 1)
         order = np.argsort(kept, axis=1, kind="stable")
         lists += [np.take_along_axis(top, order, 1).tolist(), np.take_along_axis(kept, order, 1).tolist()]
-    group = index.group.tolist()
-    deeper: dict[int, list[tuple[int, int]]] = {}
+    rows, cells, deeper = [], [], {}
     for row, (ti, di, tj, dj) in enumerate(zip(*lists, strict=True)):
-        for n, (i, j) in enumerate(cells_by_heap(di, dj, most)):
+        for i, j in cells_by_heap(di, dj, most):
             cell = ti[i] * width + tj[j]
             if cell in index.finer:
-                deeper.setdefault(cell, []).append((row, n))
+                deeper.setdefault(cell, []).append(row)
             else:
-                yield row, index.base + cell, group[ti[i]], n
+                rows.append(row)
+                cells.append(index.base + cell)
+    parts = [(np.array(rows, np.int64), np.array(cells, np.int64))]
     for cell, who in deeper.items():
-        rows = [r for r, _ in who]
-        for row, c, g, within in placed_visits(index.finer[cell], unit[rows], most):
-            yield rows[row], c, g, who[row][1] + within / most
+        inner, c = visits(index.finer[cell], unit[who], most)
+        parts.append((np.array(who, np.int64)[inner], c))
+    return np.concatenate([r for r, _ in parts]), np.concatenate([c for _, c in parts])
 
 
-def to_matrix(vectors: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(vectors), np.float32).reshape(-1, DIM)
+def routes(unit: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, group, whether the row is stored there) of all groups to which the rows travel."""
+    out = []
+    for b in range(0, len(unit), 4096):
+        d = nearest(unit[b : b + 4096], centroids)
+        m = min(ROUTES, d.shape[1])
+        top = np.argpartition(d, m - 1, axis=1)[:, :m]
+        near = np.take_along_axis(d, top, 1)
+        least = near.min(1, keepdims=True)
+        row, at = np.nonzero(near <= least + ROUTE_MARGIN)
+        out.append((row + b, top[row, at], at == near.argmin(1)[row]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -152,87 +159,128 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return wide / np.sqrt((wide**2).sum(1))[:, None]
 
 
-ROUTED = "grp int, cls bigint, name string, vector binary, own bigint, cells array<bigint>"
-
-
-def routed(tables: list[tuple[np.ndarray, Index]], pdf: pd.DataFrame, most: int) -> pd.DataFrame:
-    """Each row once for every group in which it is stored or visits cells; only where it is stored does it need its name."""
-    raw = np.stack(pdf.embedding.to_numpy()).astype(np.float32)
-    unit = unit_rows(raw).astype(np.float32)
-    at: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
-    for rotation, index in tables:
-        met = sorted(placed_visits(index, unit @ rotation, most), key=lambda v: (v[0], v[3]))
-        last, groups = -1, set()
-        for row, cell, grp, place in met:
-            if row != last:
-                last, groups = row, set()
-            if grp not in groups:
-                if len(groups) == GROUPS:
-                    continue
-                groups.add(grp)
-            cells, mine = at.setdefault((row, grp), ([], [-1]))
-            cells.append(cell)
-            if place == 0:
-                mine[0] = cell
-    rows = [r for r, _ in at]
-    own = [mine[0] for _, mine in at.values()]
-    names = pdf.name_.to_numpy()
-    return pd.DataFrame(
-        {
-            "grp": [g for _, g in at],
-            "cls": pdf.cls.to_numpy()[rows],
-            "name": [names[r] if o >= 0 else "" for r, o in zip(rows, own, strict=True)],
-            "vector": [raw[r].tobytes() for r in rows],
-            "own": own,
-            "cells": [cells for cells, _ in at.values()],
-        }
-    )
+def matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float32)
+
+
+def to_unit(vectors: pd.Series) -> np.ndarray:
+    return unit_rows(matrix(vectors)).astype(np.float32)
 
 
-def search_group(pdf: pd.DataFrame, keep: int, least: float) -> pd.DataFrame:
-    """(a, b, similarity): the ``keep`` most similar entries of each query among the cells that it visits here."""
-    x = to_matrix(pdf.vector)
+ROUTED = "slot int, cls bigint, name string, vector binary, is_entry boolean, is_query boolean"
+
+
+def search_group(pdf: pd.DataFrame, keep: int, least: float, most: int) -> pd.DataFrame:
+    """(a, b, similarity): the ``keep`` most similar entries of each query among the cells that it visits in this group's index."""
+    x = np.frombuffer(b"".join(pdf.vector), np.float32).reshape(-1, DIM)
     wide = unit_rows(x)
     unit = wide.astype(np.float32)
+    entry, query = np.flatnonzero(pdf.is_entry), np.flatnonzero(pdf.is_query)
+    nothing = pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": np.int64, "b": np.int64})
+    if not len(entry) or not len(query):
+        return nothing
     rank = np.empty(len(pdf), np.int64)
-    rank[np.argsort(pdf.name.to_numpy().astype("S"), kind="stable")] = np.arange(len(pdf))
-    own = pdf.own.to_numpy()
-    entry = np.flatnonzero(own >= 0)
-    entry = entry[np.argsort(own[entry], kind="stable")]
-    sizes = np.array([len(c) for c in pdf.cells])
-    query, cell = np.repeat(np.arange(len(pdf)), sizes), np.concatenate(pdf.cells.to_numpy())
-    lo = np.searchsorted(own[entry], cell)
-    n = np.searchsorted(own[entry], cell, "right") - lo
-    per_query = np.bincount(query, weights=n, minlength=len(pdf)).astype(np.int64)
-    ends = np.cumsum(sizes)
-    out, q = [], 0
-    while q < len(pdf):  # whole queries, about PAIRS pairs at a time
-        stop = max(q + 1, q + int(np.searchsorted(np.cumsum(per_query[q:]), PAIRS, "right")))
-        part = slice(ends[q] - sizes[q], ends[stop - 1])
-        m = n[part]
-        a = np.repeat(query[part], m)
-        b = entry[np.repeat(lo[part] - np.cumsum(m) + m, m) + np.arange(m.sum())]
-        near = np.concatenate([np.einsum("nd,nd->n", unit[a[s : s + 65536]], unit[b[s : s + 65536]]) for s in range(0, len(a), 65536)] or [np.empty(0)])
-        good = (near >= least - 1e-4) & (a != b)
-        a, b = a[good], b[good]
-        sim = np.round(np.concatenate([np.einsum("nd,nd->n", wide[a[s : s + 65536]], wide[b[s : s + 65536]]) for s in range(0, len(a), 65536)] or [np.empty(0)]), 6)
+    rank[np.argsort(pdf.name.to_numpy(object), kind="stable")] = np.arange(len(pdf))  # by code points, as UTF-8 bytes compare
+    index = fit(unit[entry], np.random.default_rng(7), [0])
+    own = own_cells(index, unit[entry])
+    order = np.argsort(own, kind="stable")
+    entry, own = entry[order], own[order]
+    held, size, step = [], 0, 1024
+
+    def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, sim = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.lexsort((rank[b], -sim, a))
         a, b, sim = a[order], b[order], sim[order]
-        nth = np.arange(len(a)) - np.searchsorted(a, a)
-        good = (nth < keep) & (sim >= least)
-        out.append((a[good], b[good], sim[good]))
-        q = stop
-    a, b, sim = (np.concatenate(c) for c in zip(*out, strict=True))
+        good = np.arange(len(a)) - np.searchsorted(a, a) < keep
+        return a[good], b[good], sim[good]
+
+    for q in range(0, len(query), step):
+        asking = query[q : q + step]
+        who, cell = visits(index, unit[asking], most)
+        lo = np.searchsorted(own, cell)
+        n = np.searchsorted(own, cell, "right") - lo
+        upto = np.cumsum(n)
+        begin = 0
+        while begin < len(who):  # about PAIRS pairs at a time
+            stop = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PAIRS, "right")))
+            m, first = n[begin:stop], lo[begin:stop]
+            a = np.repeat(asking[who[begin:stop]], m)
+            b = entry[np.repeat(first - np.cumsum(m) + m, m) + np.arange(m.sum())]
+            good = (np.einsum("nd,nd->n", unit[a], unit[b]) >= least - 1e-4) & (a != b)
+            a, b = a[good], b[good]
+            sim = np.round(np.einsum("nd,nd->n", wide[a], wide[b]), 6)
+            good = sim >= least
+            held.append((a[good], b[good], sim[good]))
+            size += int(good.sum())
+            if size > HELD_PAIRS:
+                held = [best()]
+                size = len(held[0][0])
+            begin = stop
+    a, b, sim = best()
     cls = pdf.cls.to_numpy()
     return pd.DataFrame({"a": cls[a], "b": cls[b], "similarity": sim})
 
 
+def is_usable(e: Column) -> Column:
+    sound = (F.size(e) == DIM) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x)) & F.exists(e, lambda x: x != 0)
+    return e.isNotNull() & sound
+
+
 def usable_vectors(vectors: DataFrame) -> DataFrame:
     """(chunk_id, embedding, cls): the current vector of each id, if it has 64 numbers that are not all zero."""
     e = F.col("embedding")
     latest = vectors.where("chunk_id is not null").groupBy("chunk_id").agg(F.max_by("embedding", "row_seq").alias("embedding"))
-    sound = (F.size(e) == DIM) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x)) & F.exists(e, lambda x: x != 0)
-    return latest.where(e.isNotNull() & sound).withColumn("cls", F.xxhash64("embedding"))
+    return latest.where(is_usable(e)).withColumn("cls", F.xxhash64("embedding"))
+
+
+def groups_of(rows: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(classes stored in each group, classes that are its guests), about, over all rows (cls, embedding), of which several may be of one class."""
+    held = rows.sparkSession.sparkContext.broadcast(centroids)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                row, group, own = routes(to_unit(pdf.embedding), held.value)
+                cls = pdf.cls.to_numpy()[row]
+                yield pd.DataFrame({"grp": group, "own": own, "cls": cls}).drop_duplicates()
+
+    sent = rows.select("cls", "embedding").mapInPandas(assign, "grp int, own boolean, cls bigint")
+    n = sent.groupBy("grp", "own").agg(F.approx_count_distinct("cls").alias("n")).toPandas()  # two rows per group
+    out = np.zeros((2, len(centroids)), np.int64)
+    out[n.own.astype(int), n.grp] = n.n
+    return out[1], out[0]
+
+
+def balanced_groups(rows: DataFrame, centroids: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, parts among which each group's guests are shared out): groups that hold too many classes are split until none does.
+
+    A full group's centroid gives way to several, fitted to a new bounded sample of the rows in full groups.
+    """
+    spark = rows.sparkSession
+    for attempt in range(SPLIT_ROUNDS + 1):
+        own, guests = groups_of(rows, centroids)
+        full = np.flatnonzero(own > FULL_GROUP)
+        if not len(full) or attempt == SPLIT_ROUNDS:
+            break
+        held = spark.sparkContext.broadcast((centroids, full))
+        share = min(1.0, SAMPLE / own[full].sum())
+        drawn = rows.where(F.pmod(F.xxhash64("cls", F.lit(f"split {attempt}")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+
+        def inside(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    group = nearest(to_unit(pdf.embedding), held.value[0]).argmin(1)
+                    kept = np.isin(group, held.value[1])
+                    yield pd.DataFrame({"grp": group[kept], "cls": pdf.cls.to_numpy()[kept], "embedding": pdf.embedding.to_numpy()[kept]})
+
+        some = drawn.select("cls", "embedding").mapInPandas(inside, "grp int, cls bigint, embedding array<float>").dropDuplicates(["cls"]).toPandas()  # about SAMPLE rows
+        made = [np.delete(centroids, full, axis=0)]
+        for g in full:
+            x = some.embedding[some.grp == g]
+            k = min(len(x), -(-int(own[g]) // GROUP_ROWS))
+            made.append(k_means(to_unit(x), k, rng) if k > 1 else centroids[g : g + 1])
+        centroids = np.concatenate(made)
+    return centroids, np.maximum(1, -(-guests // FULL_GROUP))
 
 
 def top_similar(vectors: DataFrame, k: int = 5, least: float = -1.0, visited: int = VISITS) -> DataFrame:
@@ -242,7 +290,7 @@ def top_similar(vectors: DataFrame, k: int = 5, least: float = -1.0, visited: in
     rounded to 6 decimals; equal ones rank by chunk_id. Vectors that are null, zero, not of 64 numbers or hold
     nulls or NaN take no part. Empty input gives no rows; other columns are not used.
 
-    Approximate in one way only: a neighbour that in no table lies in a cell visited by either side is not found.
+    Approximate in one way only: a neighbour is not found if neither side travels to the other's group and visits its cell there.
     Equal vectors are told by a 64-bit hash. Of a class, however large, only its first k + 1 ids can be among
     anyone's k most similar, so only those are looked at as neighbours, and every member gets its own list.
     """
@@ -252,27 +300,51 @@ def top_similar(vectors: DataFrame, k: int = 5, least: float = -1.0, visited: in
     heads = members.withColumn("nth", F.row_number().over(Window.partitionBy("cls").orderBy("chunk_id"))).where(F.col("nth") <= k + 1).drop("nth")
     firsts = members.groupBy("cls").agg(F.min("chunk_id").alias("chunk_id"))
     classes = known.join(firsts.select("chunk_id"), "chunk_id", "left_semi").select("cls", F.col("chunk_id").alias("name_"), "embedding")
-    rows = vectors.count()  # of the raw table, so that nothing is shuffled for it
-    share = min(1.0, SAMPLE / max(1, rows))
-    few = vectors.where(F.pmod(F.xxhash64("chunk_id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    picked = usable_vectors(few)
-    sample = picked.dropDuplicates(["cls"]).select("embedding").toPandas().embedding  # about SAMPLE rows
-    if len(sample) < LEAST_SAMPLE and share < 1:
-        rows = classes.count()
-        share = min(1.0, max(SAMPLE, LEAST_SAMPLE) / max(1, rows))
-        drawn = classes.where(F.pmod(F.xxhash64("cls", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
-        sample = drawn.select("embedding").toPandas().embedding
+    # what only fits and counts reads the raw table, so that nothing is shuffled for it
+    raw = vectors.where(F.col("chunk_id").isNotNull() & is_usable(F.col("embedding"))).select(F.xxhash64("embedding").alias("cls"), "embedding")
+    rows = vectors.count()
+    part = lambda share: F.pmod(F.xxhash64("cls", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20))
+    draw = lambda share: raw.where(part(share)).dropDuplicates(["cls"]).select("embedding").toPandas().embedding  # about SAMPLE rows
+    sample = draw(min(1.0, SAMPLE / max(1, rows)))
+    if len(sample) < LEAST_SAMPLE and rows > SAMPLE:
+        rows = raw.agg(F.approx_count_distinct("cls")).first()[0]
+        sample = draw(min(1.0, max(SAMPLE, LEAST_SAMPLE) / max(1, rows)))
     if not len(sample):
         return spark.createDataFrame([], "chunk_id string, place int, other string, similarity double")
-    tables = spark.sparkContext.broadcast(fit_tables(unit_rows(np.stack(sample.to_numpy())).astype(np.float32), rows))
+    rng = np.random.default_rng(7)
+    count = int(np.clip(rows // GROUP_ROWS, 1, min(MOST_GROUPS, len(sample))))
+    centroids = k_means(to_unit(sample), count, rng)
+    centroids, parts = balanced_groups(raw, centroids, rng) if count > 1 else (centroids, np.ones(1, np.int64))
+    before = np.cumsum(parts) - parts
+    shared = spark.sparkContext.broadcast((centroids, parts, before))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for b in range(0, len(pdf), 2048):
-                yield routed(tables.value, pdf[b : b + 2048], visited)
-
-    groups = classes.mapInPandas(route, ROUTED).groupBy("grp")
-    found = groups.applyInPandas(lambda pdf: search_group(pdf, k + 1, least), "a bigint, b bigint, similarity double")
+        centroids, parts, before = shared.value
+        for whole in batches:
+            for at in range(0, len(whole), 4096):
+                pdf = whole[at : at + 4096]
+                raw = matrix(pdf.embedding)
+                row, group, own = routes(unit_rows(raw).astype(np.float32), centroids)
+                cls, names = pdf.cls.to_numpy(), pdf.name_.to_numpy()
+                asked = cls[row] % parts[group]  # the part of the group in which a row is a query; it is an entry in all
+                copies = np.where(own, parts[group], 1)
+                row, group, own, asked = (np.repeat(c, copies) for c in (row, group, own, asked))
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+                part = np.where(own, nth, asked)
+                yield pd.DataFrame(
+                    {
+                        "slot": before[group] + part,
+                        "cls": cls[row],
+                        "name": np.where(own, names[row], ""),
+                        "vector": [raw[r].tobytes() for r in row],
+                        "is_entry": own,
+                        "is_query": part == asked,
+                    }
+                )
+
+    tasks = int(min(2 * parts.sum(), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 200)))  # not merged by size, as time goes by pairs
+    groups = classes.mapInPandas(route, ROUTED).repartition(tasks, "slot").groupBy("slot")
+    found = groups.applyInPandas(lambda pdf: search_group(pdf, k + 1, least, visited), "a bigint, b bigint, similarity double")
     itself = firsts.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("similarity"))
     ways = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     both = found.select(F.explode(ways).alias("w"), "similarity").select("w.a", "w.b", "similarity").distinct().unionByName(itself)
