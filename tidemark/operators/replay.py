@@ -49,6 +49,26 @@ def first_at_or_after(log: DataFrame, at: Column) -> DataFrame:
     return found.where("last is not null").select(F.coalesce("hit", "last").alias("seq"))
 
 
+def commits_of(versions: DataFrame) -> DataFrame:
+    """(commit_sha, commit_date): every commit once, at its earliest date; commits without a date have no place in the log."""
+    dated = versions.where("commit_sha is not null and commit_date is not null")
+    return dated.groupBy("commit_sha").agg(F.min("commit_date").alias("commit_date"))
+
+
+def first_commit_since(versions: DataFrame, day: str) -> DataFrame:
+    """One row (commit_sha, commit_date): the first commit on or after a day, of several at one time the least. Without one there is no baseline: an error."""
+    found = commits_of(versions).where(F.col("commit_date") >= F.lit(day).cast("timestamp_ntz"))
+    first = found.agg(F.min(F.struct("commit_date", "commit_sha")).alias("c")).where("c is not null").select("c.commit_sha", "c.commit_date")
+    if not first.take(1):
+        raise ValueError(f"no commit on or after {day}")
+    return first
+
+
+def first_commits(versions: DataFrame, n: int) -> DataFrame:
+    """The first n commits of the log, in the order of their dates."""
+    return commits_of(versions).orderBy("commit_date", "commit_sha").limit(n)
+
+
 def midpoint_seq(log: DataFrame) -> DataFrame:
     """One row (seq): the first place at or after the middle of the log's time."""
     ends = log.agg(F.min("ts").alias("t0"), F.max("ts").alias("t1")).select(

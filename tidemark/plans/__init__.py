@@ -1,5 +1,5 @@
 """Registered queries and the SQL each one is checked against."""
 
-from tidemark.plans import corpus, ledger, lifecycle, replay
+from tidemark.plans import corpus, ledger, lifecycle, replay, stores
 
-MODULES = (corpus, ledger, lifecycle, replay)
+MODULES = (corpus, ledger, lifecycle, replay, stores)
