@@ -98,7 +98,7 @@ def test_latest_row_of_an_id_counts(spark):
 
 def test_a_family_too_large_for_one_cell_gets_a_finer_index(monkeypatch):
     monkeypatch.setattr(n, "FULL_CELL", 200)
-    x = np.concatenate([families(1, 1500, 0.0005, 6), families(1700, 1, 0, 7)])
+    x = np.concatenate([families(1, 1500, 0.02, 6), families(1700, 1, 0, 7)])
     unit = n.unit_rows(x).astype(np.float32)
     index = n.fit(unit, np.random.default_rng(1), [0])
     own = n.own_cells(index, unit)

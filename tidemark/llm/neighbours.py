@@ -35,13 +35,12 @@ ROUTES = 6
 ROUTE_MARGIN = 0.06
 #: Cells that a query visits at most in a group, and how much farther than the nearest one a cell may be, in squared distance.
 VISITS = 32
-MARGIN = 0.12
+MARGIN = 0.3
 #: Root of the rows expected in a cell. A cell with more than FULL_CELL gets an index of its own.
-ROOT_OF_CELL = 3.0
+ROOT_OF_CELL = 8.0
 FULL_CELL = 2048
-#: Rows of a group to which its codebooks are fitted, pairs compared at once, and pairs held until the best of each query are picked.
+#: Rows of a group to which its codebooks are fitted, and pairs held until the best of each query are picked.
 FIT_ROWS = 16_384
-PAIRS = 1 << 18
 HELD_PAIRS = 1 << 22
 
 
@@ -185,7 +184,7 @@ def search_group(pdf: pd.DataFrame, keep: int, least: float, most: int) -> pd.Da
     own = own_cells(index, unit[entry])
     order = np.argsort(own, kind="stable")
     entry, own = entry[order], own[order]
-    held, size, step = [], 0, 1024
+    held, size, step = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], 0, 8192
 
     def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b, sim = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -197,25 +196,23 @@ def search_group(pdf: pd.DataFrame, keep: int, least: float, most: int) -> pd.Da
     for q in range(0, len(query), step):
         asking = query[q : q + step]
         who, cell = visits(index, unit[asking], most)
-        lo = np.searchsorted(own, cell)
-        n = np.searchsorted(own, cell, "right") - lo
-        upto = np.cumsum(n)
-        begin = 0
-        while begin < len(who):  # about PAIRS pairs at a time
-            stop = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PAIRS, "right")))
-            m, first = n[begin:stop], lo[begin:stop]
-            a = np.repeat(asking[who[begin:stop]], m)
-            b = entry[np.repeat(first - np.cumsum(m) + m, m) + np.arange(m.sum())]
-            good = (np.einsum("nd,nd->n", unit[a], unit[b]) >= least - 1e-4) & (a != b)
-            a, b = a[good], b[good]
+        by_cell = np.argsort(cell, kind="stable")
+        who, cell = asking[who[by_cell]], cell[by_cell]
+        met, first = np.unique(cell, return_index=True)
+        lo, hi = np.searchsorted(own, met), np.searchsorted(own, met, "right")
+        for begin, end, l, h in zip(first.tolist(), [*first[1:].tolist(), len(cell)], lo.tolist(), hi.tolist(), strict=True):
+            if l == h:
+                continue
+            near = unit[who[begin:end]] @ unit[entry[l:h]].T  # all that visit a cell with all that lie in it
+            i, j = np.nonzero(near >= least - 1e-4)
+            a, b = who[begin + i], entry[l + j]
             sim = np.round(np.einsum("nd,nd->n", wide[a], wide[b]), 6)
-            good = sim >= least
+            good = (sim >= least) & (a != b)
             held.append((a[good], b[good], sim[good]))
-            size += int(good.sum())
+            size += len(a)
             if size > HELD_PAIRS:
                 held = [best()]
                 size = len(held[0][0])
-            begin = stop
     a, b, sim = best()
     cls = pdf.cls.to_numpy()
     return pd.DataFrame({"a": cls[a], "b": cls[b], "similarity": sim})
