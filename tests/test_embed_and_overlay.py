@@ -43,9 +43,28 @@ def test_staff_pages_and_migration(spark):
     chunks = spark.createDataFrame([("l0", "legacy"), ("o0", "other")], "chunk_id string, doc_id string")
     events = spark.createDataFrame([(1, "l0"), (2, "o0")], "event_id bigint, chunk_id string")
     out = overlay.migrate(docs, versions, chunks, events, "legacy", pages, "c1")
-    assert out["documents"].count() == 31 and [out[t].count() for t in ("doc_versions", "chunks", "index_events")] == [1, 1, 1]
+    assert [out[t].count() for t in ("documents", "doc_versions", "chunks", "index_events")] == [31, 31, 31, 91]
+    new = out["doc_versions"].where("version_id > 2").agg({"version_id": "max"}).first()[0]
+    assert new == 32 and out["index_events"].select("event_id").distinct().count() == 91
     twice = overlay.migrate(out["documents"], out["doc_versions"], out["chunks"], out["index_events"], "legacy", pages, "c2")
-    assert sorted(twice["documents"].collect(), key=str) == sorted(out["documents"].collect(), key=str)
+    for t in out:
+        assert sorted(twice[t].collect(), key=str) == sorted(out[t].collect(), key=str)
+    nothing = overlay.migrate(docs, versions, chunks, events, None, pages.limit(0), "c1")
+    assert [nothing[t].count() for t in ("documents", "doc_versions", "chunks", "index_events")] == [2, 2, 2, 2]
+
+
+def test_backfill_only_goes_ahead_with_the_texts_once_stored(spark):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    versions = spark.createDataFrame([("d", 1), ("e", 2)], "doc_id string, version_id bigint")
+    chunks = spark.createDataFrame([("d0", 1, sha("some words")), ("e0", 2, sha("others"))], "chunk_id string, version_id bigint, text_sha256 string")
+    manifest = lambda *rows: spark.createDataFrame(rows, "doc_id string, text string")
+    made = embed.verified_backfill(manifest(("d", "some words"), ("e", "others")), versions, chunks, embed.by_hash(8)).collect()
+    assert {r.chunk_id for r in made} == {"d0", "e0"}
+    for wrong in (("d", "other words"), ("f", "unknown"), ("d", None)):
+        with pytest.raises(ValueError, match=wrong[0]):
+            embed.verified_backfill(manifest(("e", "others"), wrong), versions, chunks, embed.by_hash(8))
+    own = embed.embed_texts(chunks.selectExpr("chunk_id", "chunk_id as text", "text_sha256"), lambda texts: texts.selectExpr("text_sha256", "array(float(length(text))) as embedding"))
+    assert {r.chunk_id: r.embedding for r in own.collect()} == {"d0": [2.0], "e0": [2.0]}
 
 
 def test_retrievable_modes(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +33,22 @@ def hashed_vectors(texts: DataFrame, key: str, text: str, dim: int = DIM) -> Dat
     return maps.where("n > 0").select(key, numbers.alias("embedding"))
 
 
-def embed_by_hash(chunks: DataFrame, dim: int = DIM) -> DataFrame:
-    """(chunk_id, embedding) of chunks (chunk_id, text, text_sha256), each distinct text embedded once."""
+#: Makes (text_sha256, embedding) of (text_sha256, text), each text given once; a text may have none.
+Embedder = Callable[[DataFrame], DataFrame]
+
+
+def by_hash(dim: int = DIM) -> Embedder:
+    return lambda texts: hashed_vectors(texts, "text_sha256", "text", dim)
+
+
+def embed_texts(chunks: DataFrame, embedder: Embedder) -> DataFrame:
+    """(chunk_id, embedding) of chunks (chunk_id, text, text_sha256) by any embedder, each distinct text embedded once."""
     texts = chunks.where("text is not null").groupBy("text_sha256").agg(F.min("text").alias("text"))
-    return chunks.select("chunk_id", "text_sha256").join(hashed_vectors(texts, "text_sha256", "text", dim), "text_sha256").drop("text_sha256")
+    return chunks.select("chunk_id", "text_sha256").join(embedder(texts), "text_sha256").drop("text_sha256")
+
+
+def embed_by_hash(chunks: DataFrame, dim: int = DIM) -> DataFrame:
+    return embed_texts(chunks, by_hash(dim))
 
 
 def hash_mismatches(rebuilt: DataFrame, stored: DataFrame) -> DataFrame:
@@ -45,3 +59,18 @@ def hash_mismatches(rebuilt: DataFrame, stored: DataFrame) -> DataFrame:
     both = rebuilt.select("chunk_id", F.sha2("text", 256).alias("now")).join(stored.select("chunk_id", F.col("text_sha256").alias("then")), "chunk_id", "left")
     problem = F.when(F.col("then").isNull(), "unknown").when(F.col("now").isNull() | (F.col("now") != F.col("then")), "changed")
     return both.select("chunk_id", problem.alias("problem")).where("problem is not null")
+
+
+def verified_backfill(manifest: DataFrame, versions: DataFrame, chunks: DataFrame, embedder: Embedder) -> DataFrame:
+    """(chunk_id, embedding) of the documents of a manifest, whose texts were made again; an error if any isn't the text once stored.
+
+    manifest: doc_id, text, one chunk a document. versions: doc_id, version_id. chunks: chunk_id, version_id, text_sha256. A document of which
+    no chunk is known is a mismatch too. Nothing is embedded before all are verified.
+    """
+    made = manifest.join(versions.select("doc_id", "version_id"), "doc_id", "left").join(chunks.select("version_id", "chunk_id", "text_sha256"), "version_id", "left")
+    now = F.sha2("text", 256)
+    wrong = made.where(F.col("chunk_id").isNull() | F.col("text").isNull() | ~F.col("text_sha256").eqNullSafe(now))
+    some = [r["doc_id"] for r in wrong.select("doc_id").limit(10).collect()]
+    if some:
+        raise ValueError(f"texts differ from those stored, as of {some}")
+    return embed_texts(made.select("chunk_id", "text", "text_sha256"), embedder)

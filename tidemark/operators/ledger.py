@@ -51,9 +51,9 @@ def natural_versions(versions: DataFrame) -> DataFrame:
 
 def latest_events(events: DataFrame) -> DataFrame:
     """The last event of each engine and chunk, whatever it is; one aggregate instead of a join with the greatest ids."""
-    last = F.struct("event_id", neutral("op").alias("op"), "expected_present", "commit_sha")
+    last = F.struct("event_id", neutral("op").alias("op"), "expected_present", "commit_sha", "applied_at")
     return (
-        counted_deliveries(events.select("event_id", "loaded_at", "engine", "chunk_id", "op", "expected_present", "commit_sha"))
+        counted_deliveries(events.select("event_id", "loaded_at", "engine", "chunk_id", "op", "expected_present", "commit_sha", "applied_at"))
         .where(neutral("op").isNotNull() & F.col("engine").isNotNull() & F.col("chunk_id").isNotNull())
         .groupBy("engine", "chunk_id")
         .agg(F.max(last).alias("e"))
@@ -69,7 +69,7 @@ def last_chunked(chunks: DataFrame) -> DataFrame:
 def chunk_lineage(chunks: DataFrame, versions: DataFrame, documents: DataFrame) -> DataFrame:
     """Each chunk with its version, its document's state and the version last chunked; all inner joins."""
     v = versions.select("version_id", F.col("action").alias("version_action"), F.col("commit_date").alias("version_date"))
-    d = documents.select("doc_id", F.col("status").alias("doc_status"), "renamed_to")
+    d = documents.select("doc_id", F.col("status").alias("doc_status"), "renamed_to", "last_seen_commit")
     last = last_chunked(chunks).join(
         versions.select(F.col("version_id").alias("last_chunked_version_id"), F.col("commit_date").alias("last_chunked_date")), "last_chunked_version_id"
     )
@@ -82,8 +82,8 @@ def chunk_lineage(chunks: DataFrame, versions: DataFrame, documents: DataFrame)
 
 
 def deleted_targets(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(doc_id, last_chunked_version_id) of deleted documents that once had chunks, synthetic ones left out."""
-    gone = documents.where("status = 'deleted' and coalesce(is_synthetic_pii, 0) = 0").select("doc_id")
+    """(doc_id, last_seen_commit, last_chunked_version_id) of deleted documents that once had chunks, synthetic ones left out."""
+    gone = documents.where("status = 'deleted' and coalesce(is_synthetic_pii, 0) = 0").select("doc_id", "last_seen_commit")
     return gone.join(last_chunked(chunks), "doc_id")
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.ledger import insert_if_absent, purge
+from tidemark.functions.identity import chunk_id
+from tidemark.operators.chunker import chunk
+from tidemark.operators.ledger import per_engine, purge
+from tidemark.operators.ordering import dense_ids
 
 FOLDER = "synthetic/employee"
 FIRST = ("Ada", "Ben", "Cleo", "Dan", "Eva", "Finn", "Gia", "Hal", "Ida", "Jon", "Kim", "Lea")
@@ -40,11 +43,22 @@ def profile_pages(people: DataFrame) -> DataFrame:
     return people.select(F.concat(F.lit(f"{FOLDER}/"), "employee_id").alias("doc_id"), name.alias("title"), body.alias("body"))
 
 
-def migrate(documents: DataFrame, versions: DataFrame, chunks: DataFrame, events: DataFrame, legacy_doc: str, pages: DataFrame, commit: str) -> dict[str, DataFrame]:
-    """The ledger without the legacy document and with one live synthetic document per page; a second run changes nothing."""
+def _conformed(df: DataFrame, like: DataFrame) -> DataFrame:
+    """df with the columns and types of another table; those that it lacks are null."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema])
+
+
+def migrate(documents: DataFrame, versions: DataFrame, chunks: DataFrame, events: DataFrame, legacy_doc: str | None, pages: DataFrame, commit: str) -> dict[str, DataFrame]:
+    """The ledger without the legacy document and with one live synthetic document per page, its version, its chunks and an upsert of each in every engine.
+
+    Pages whose documents are there already are left as they are, so a second run changes nothing. New versions and events are numbered
+    after those that there are.
+    """
     spark = documents.sparkSession
     left = purge(documents, versions, chunks, events, spark.createDataFrame([(legacy_doc,)], "doc_id string"))
-    new = pages.select(
+    fresh = pages.join(left["documents"].select("doc_id"), "doc_id", "left_anti")
+    after = lambda df, c: df.agg(F.coalesce(F.max(c), F.lit(0)).cast("bigint")).first()[0]
+    docs = fresh.select(
         "doc_id",
         F.concat(F.lit("synthetic:"), "doc_id", F.lit(".md")).alias("source_path"),
         F.lit(commit).alias("first_seen_commit"),
@@ -53,4 +67,11 @@ def migrate(documents: DataFrame, versions: DataFrame, chunks: DataFrame, events
         F.lit(None).cast("string").alias("renamed_to"),
         F.lit(1).alias("is_synthetic_pii"),
     )
-    return left | {"documents": insert_if_absent(left["documents"], new, ["doc_id"])}
+    numbered = dense_ids(fresh.select("doc_id", "body"), ["doc_id"], "version_id", after(left["doc_versions"], "version_id") + 1)
+    made = numbered.select("doc_id", "version_id", "body", F.lit(commit).alias("commit_sha"), F.sha2("body", 256).alias("content_sha256"), F.lit("add").alias("action"))
+    parts = chunk(numbered, "doc_id", "body").join(numbered.select("doc_id", "version_id"), "doc_id")
+    parts = parts.select(chunk_id(F.col("doc_id"), F.col("version_id"), F.col("ordinal")).alias("chunk_id"), "doc_id", "version_id", "ordinal", "text_sha256", "token_count")
+    upserts = per_engine(parts.select("chunk_id")).withColumns({"op": F.lit("upsert"), "commit_sha": F.lit(commit), "expected_present": F.lit(1)})
+    logged = dense_ids(upserts, ["engine", "chunk_id"], "event_id", after(left["index_events"], "event_id") + 1)
+    new = {"documents": docs, "doc_versions": made, "chunks": parts, "index_events": logged}
+    return {name: df.unionByName(_conformed(new[name], df)) for name, df in left.items()}

@@ -212,13 +212,23 @@ def minted_versions(steps: DataFrame, contents: DataFrame) -> DataFrame:
     return dense_ids(kept, ["seq", "phase", "doc"], "version_id").drop("seq", "phase")
 
 
-def minted_chunks(versions: DataFrame, contents: DataFrame) -> DataFrame:
-    """Chunk rows of all versions with content: chunk_id, doc, version_id, ordinal, text_sha256, made. contents: content_key, chunks."""
-    parts = contents.select("content_key", F.explode("chunks").alias("c"))
+def minted_chunks(versions: DataFrame, parts: DataFrame) -> DataFrame:
+    """Chunk rows of all versions with content: chunk_id, doc, version_id, ordinal, text_sha256, made. parts: content_key, ordinal, text_sha256."""
     own = versions.where("content_key is not null").select("doc", "version_id", "made", "content_key").join(parts, "content_key")
-    return own.select(
-        chunk_id(F.col("doc"), F.col("version_id"), F.col("c.ordinal")).alias("chunk_id"), "doc", "version_id", F.col("c.ordinal").alias("ordinal"), F.col("c.text_sha256").alias("text_sha256"), "made"
-    )
+    return own.select(chunk_id(F.col("doc"), F.col("version_id"), F.col("ordinal")).alias("chunk_id"), "doc", "version_id", "ordinal", "text_sha256", "made")
+
+
+def reingest_sources(steps: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(chunk_id, source_chunk_id): each chunk made by a re-ingestion and the one of the version before with its place, whose text and vector it repeats."""
+    again = steps.where("outcome = 'reingest' and old is not null").select("doc", "made", "old")
+    new = again.join(chunks.select("doc", "made", "ordinal", "chunk_id"), ["doc", "made"])
+    before = chunks.select("doc", F.col("made").alias("old"), "ordinal", F.col("chunk_id").alias("source_chunk_id"))
+    return new.join(before, ["doc", "old", "ordinal"]).select("chunk_id", "source_chunk_id")
+
+
+def vectors_of_upserts(ops: DataFrame, sources: DataFrame) -> DataFrame:
+    """(chunk_id, vector_id): the chunk whose vector each upsert stores, the source's for a chunk ingested again, so that nothing is embedded twice."""
+    return ops.where("op = 'upsert'").select("chunk_id").join(sources, "chunk_id", "left").select("chunk_id", F.coalesce("source_chunk_id", "chunk_id").alias("vector_id"))
 
 
 def engine_ops(steps: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -236,11 +246,16 @@ def engine_ops(steps: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def event_log(ops: DataFrame) -> DataFrame:
-    """The ops of all engines with event ids: engine by engine, upserts before deletes before skips, each in the order of the log."""
-    engines = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(e).alias("engine")) for i, e in enumerate(ENGINES)])
+    """The ops of all engines with event ids: engine by engine, upserts before deletes before skips, each in the order of the log.
+
+    All engines get the same ops, so these are sorted and numbered once, and an engine's ids begin where those of the one before end.
+    """
     kind = F.when(F.col("op") == "upsert", 0).when(F.col("op") == "delete", 1).otherwise(2)
-    each = ops.withColumn("kind", kind).withColumn("e", F.explode(engines)).select("e.rank", "e.engine", "kind", "seq", "phase", "chunk_id", "op", "expected_present")
-    return dense_ids(each, ["rank", "kind", "seq", "phase", "chunk_id"], "event_id").select("event_id", "engine", "chunk_id", "op", "expected_present")
+    numbered = dense_ids(ops.withColumn("kind", kind), ["kind", "seq", "phase", "chunk_id"], "_id")
+    each = numbered.agg(F.max("_id")).first()[0] or 0
+    engines = F.array(*[F.struct(F.lit(i * each).cast("bigint").alias("before"), F.lit(e).alias("engine")) for i, e in enumerate(ENGINES)])
+    sent = numbered.select("_id", "chunk_id", "op", "expected_present", F.explode(engines).alias("e"))
+    return sent.select((F.col("_id") + F.col("e.before")).alias("event_id"), "e.engine", "chunk_id", "op", "expected_present")
 
 
 def erasure_choice(docs: DataFrame, at: DataFrame, n: int, salt: str = ERASURE_SALT) -> DataFrame:

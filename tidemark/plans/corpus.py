@@ -11,7 +11,7 @@ from tidemark.operators.chunker import chunk
 from tidemark.operators.embed import embed_by_hash
 from tidemark.operators.knn import exact_top_k, with_empty
 from tidemark.operators.ledger import hash_ranked
-from tidemark.session import table
+from tidemark.session import computed_once, table
 
 K = 10
 #: Numbers of a stored vector.
@@ -24,11 +24,17 @@ TWENTIETH = f"(id div 2) % {EVERY} = 0"
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with their titles and cleaned bodies; the title is only made if asked for."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "path")
     path = F.coalesce("path", F.concat(F.lit("page-"), F.col("doc_id").cast("string")))
     return docs.select("doc_id", text.title_of(text.universal_newlines(F.col("text")), F.concat(path, F.lit(".md"))).alias("title"), text.clean_body(F.col("text")).alias("body"))
 
 
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, body), each page cleaned once, whatever is then asked of the body."""
+    return computed_once(table(spark, sf_dir, "documents").select("doc_id", "text"), body=text.clean_body(F.col("text"))).drop("text")
+
+
 def clean_documents(spark, sf_dir):
     c = cleaned(spark, sf_dir)
     return c.select(
@@ -89,7 +95,7 @@ def doc_paths(spark, sf_dir):
 
 def chunk_documents(spark, sf_dir):
     """Chunks of all pages that are no stubs."""
-    pages = cleaned(spark, sf_dir).where(~text.is_stub(F.col("body")))
+    pages = bodies(spark, sf_dir).where(~text.is_stub(F.col("body")))
     return chunk(pages, "doc_id", "body").drop("text")
 
 
@@ -177,12 +183,25 @@ NAMES = (
 QUERIES = {q.__name__: q for q in NAMES}
 
 _WS = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
-_BODY = rf"""WITH unixed AS (SELECT doc_id, text, regexp_replace(text, '\r\n?', chr(10), 'g') t, coalesce(path, 'page-' || doc_id) p FROM documents),
+_BODY = rf"""WITH RECURSIVE unixed AS (SELECT doc_id, text, regexp_replace(text, '\r\n?', chr(10), 'g') t, coalesce(path, 'page-' || doc_id) p FROM documents),
  plain AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(t, '(?s)\A---\n(.*?)\n---\n', ''), '(?s)\{{\{{[%<]\s*.*?\s*[%>]\}}\}}', '', 'g'), '<[^>]+>', '', 'g') b FROM unixed),
  tidy AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '\A{_WS}+', ''), '{_WS}+\z', '') || chr(10) body FROM plain),
  cleaned AS (SELECT *, len(list_filter(string_split_regex(body, '{_WS}+'), lambda w: w <> '')) n_words,
      coalesce(nullif(regexp_extract(regexp_extract(t, '(?s)\A---\n(.*?)\n---\n', 1), '(?m)^title:[ \t]*["'']?(.*?)["'']?[ \t]*$', 1), ''), split_part(p, '/', -1)) title FROM tidy)
 """
+# Windows over the units of each page: where a window ends and the next begins follows from the running sums of the units' tokens.
+_NTOK = r"len(regexp_extract_all({}, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]'))"
+_SOLID = rf"length(regexp_replace(@, '{_WS}', '', 'g')) > 0"
+_UNITS = rf""",
+ units AS (SELECT doc_id, flatten(list_transform(list_filter(string_split_regex(body, '\n\s*\n'), lambda p: {_SOLID.replace('@', 'p')}), lambda p: CASE WHEN {_NTOK.format('p')} <= 512 THEN [p] ELSE
+     flatten(list_transform(list_filter(string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(7), 'g'), chr(7)), lambda s: {_SOLID.replace('@', 's')}), lambda s: CASE WHEN {_NTOK.format('s')} <= 512 THEN [s] ELSE
+     list_transform(range(0, {_NTOK.format('s')}, 512), lambda k: rtrim(array_to_string(regexp_extract_all(s, '(?:[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n])[ \t\r\n]*')[k + 1 : k + 512], ''))) END)) END)) u FROM cleaned),
+ sums AS (SELECT doc_id, u, list_transform(range(0, len(u) + 1), lambda k: coalesce(list_sum(list_transform(u[1 : k], lambda x: {_NTOK.format('x')})), 0)::BIGINT) upto FROM units WHERE len(u) > 0),
+ win AS (SELECT doc_id, 0 ordinal, 0 i, greatest(1, len(list_filter(upto, lambda x: x <= 512)) - 1) j FROM sums
+     UNION ALL SELECT doc_id, ordinal + 1, i2, greatest(i2 + 1, len(list_filter(upto, lambda x: x <= upto[i2 + 1] + 512)) - 1) FROM (
+         SELECT w.doc_id, ordinal, upto, greatest(least(len(list_filter(upto, lambda x: x <= upto[j + 1] - 77)) - 1, j), i + 1) i2 FROM win w JOIN sums USING (doc_id) WHERE j < len(u))),
+ chunked AS (SELECT doc_id, ordinal::INT ordinal, array_to_string(u[i + 1 : j], chr(10) || chr(10)) t, (upto[j + 1] - upto[i + 1])::INT token_count FROM win JOIN sums USING (doc_id))
+"""
 _BUCKET = "(('0x' || substr({h}, 50, 15))::BIGINT % 100 + 76 * (('0x' || substr({h}, 1, 4))::BIGINT % 100 + ('0x' || substr({h}, 5, 15))::BIGINT % 100 + ('0x' || substr({h}, 20, 15))::BIGINT % 100 + ('0x' || substr({h}, 35, 15))::BIGINT % 100)) % 100"
 _PAIRS = """WITH pairs AS (SELECT q.vec_id query_id, r.vec_id match_id, round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) similarity
     FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0 {but}),
@@ -204,6 +223,7 @@ SQL = {
     "uuid5_ids": f"""SELECT row_seq, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ('0x' || substr(h, 17, 1))::INT % 4 + 1, 1)
         || substr(h, 18, 3) || '-' || substr(h, 21, 12) point_id FROM (SELECT row_seq, sha1(unhex('{identity.POINT_NAMESPACE.replace("-", "")}') || encode(chunk_id)) h FROM vector_copy)""",
     "doc_paths": r"SELECT DISTINCT doc_id, regexp_replace(regexp_replace(source_path, '^(?:.*/)?content/handbook/', ''), '([^/])\.[^./]*$', '\1') made_id FROM ledger_documents",
+    "chunk_documents": _BODY + _UNITS + "SELECT doc_id, ordinal, token_count, sha256(t) text_sha256 FROM chunked WHERE doc_id IN (SELECT doc_id FROM cleaned WHERE n_words >= 30)",
     "paragraph_units": _BODY + rf"SELECT doc_id, len(list_filter(string_split_regex(body, '\n\s*\n'), lambda p: length(regexp_replace(p, '{_WS}', '', 'g')) > 0))::INT n_paragraphs FROM cleaned",
     "knn_topk": _ALL + f"SELECT * FROM ranked WHERE rank <= {K}",
     "knn_exclude_self": _OTHERS + f"SELECT * FROM ranked WHERE rank <= {K}",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.times import neutral
+from tidemark.functions.times import neutral, ntz_text
 from tidemark.operators import audit, ledger
 from tidemark.operators.changefeed import counted_deliveries
 from tidemark.operators.knn import exact_top_k
@@ -54,11 +54,12 @@ def versions_numbered(spark, sf_dir):
 
 
 def latest_index_events(spark, sf_dir):
-    return ledger.latest_events(table(spark, sf_dir, "index_events"))
+    return ledger.latest_events(table(spark, sf_dir, "index_events")).withColumn("applied_at", ntz_text(F.col("applied_at")))
 
 
 def chunk_lineage(spark, sf_dir):
-    return Tables(spark, sf_dir).lineage.drop("version_date", "last_chunked_date")
+    dates = {c: ntz_text(F.col(c)) for c in ("version_date", "last_chunked_date")}
+    return Tables(spark, sf_dir).lineage.withColumns(dates)
 
 
 def deleted_doc_targets(spark, sf_dir):
@@ -243,21 +244,21 @@ _BASE = """WITH RECURSIVE
  chks AS (SELECT * FROM (SELECT chunk_id, doc_id, version_id, ordinal, text_sha256, token_count,
      row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC) rn FROM chunks) WHERE rn = 1),
  counted AS (SELECT * FROM (SELECT event_id, engine, chunk_id, lower(trim(op)) op, expected_present, commit_sha,
-     row_number() OVER (PARTITION BY event_id ORDER BY loaded_at DESC) rn FROM index_events) WHERE rn = 1),
+     row_number() OVER (PARTITION BY event_id ORDER BY loaded_at DESC) rn, applied_at FROM index_events) WHERE rn = 1),
  ev AS (SELECT * FROM counted WHERE op IS NOT NULL),
  state AS (SELECT engine, chunk_id, arg_max(op, event_id) FILTER (WHERE op <> 'skip') last_op, bool_or(op = 'upsert') ever,
      arg_max(coalesce(expected_present, CASE op WHEN 'upsert' THEN 1 ELSE 0 END), event_id) expected_present FROM ev GROUP BY ALL),
  held AS (SELECT engine, chunk_id, expected_present FROM state WHERE last_op = 'upsert'),
  last_chunked AS (SELECT doc_id, max(version_id) last_chunked_version_id FROM chks WHERE doc_id IS NOT NULL GROUP BY doc_id),
- lineage AS (SELECT c.doc_id, c.version_id, chunk_id, ordinal, text_sha256, v.action version_action, d.status doc_status, renamed_to,
-     l.last_chunked_version_id FROM chks c JOIN vers v USING (version_id) JOIN docs d ON d.doc_id = c.doc_id JOIN last_chunked l ON l.doc_id = c.doc_id
+ lineage AS (SELECT c.doc_id, c.version_id, chunk_id, ordinal, text_sha256, v.action version_action, d.status doc_status, renamed_to, last_seen_commit,
+     strftime(v.commit_date, '%Y-%m-%d %H:%M:%S') version_date, strftime(lv.commit_date, '%Y-%m-%d %H:%M:%S') last_chunked_date, l.last_chunked_version_id FROM chks c JOIN vers v USING (version_id) JOIN docs d ON d.doc_id = c.doc_id JOIN last_chunked l ON l.doc_id = c.doc_id
      JOIN vers lv ON lv.version_id = l.last_chunked_version_id),
  known AS (SELECT h.engine, h.chunk_id, h.expected_present, coalesce(doc_status = 'live' AND version_id <> last_chunked_version_id, false) is_stale,
      CASE WHEN doc_status IN ('deleted', 'renamed') THEN doc_status WHEN version_id <> last_chunked_version_id THEN 'superseded_live_doc' END cause,
      row_number() OVER (PARTITION BY engine, text_sha256 ORDER BY h.chunk_id) > 1 is_excess, count(*) OVER (PARTITION BY engine, text_sha256) copies
      FROM held h JOIN lineage USING (chunk_id)),
  engines AS (SELECT unnest(['pgvector', 'qdrant', 'chroma']) engine),
- targets AS (SELECT doc_id, last_chunked_version_id FROM docs JOIN last_chunked USING (doc_id) WHERE status = 'deleted' AND coalesce(is_synthetic_pii, 0) = 0),
+ targets AS (SELECT doc_id, last_seen_commit, last_chunked_version_id FROM docs JOIN last_chunked USING (doc_id) WHERE status = 'deleted' AND coalesce(is_synthetic_pii, 0) = 0),
  links AS (SELECT doc_id, renamed_to FROM docs WHERE renamed_to IS NOT NULL),
  walk AS (SELECT doc_id source, renamed_to at_doc, 1::BIGINT steps FROM links
      UNION ALL SELECT source, links.renamed_to, steps + 1 FROM walk JOIN links ON links.doc_id = walk.at_doc WHERE steps <= (SELECT count(*) FROM links) AND steps < 200),
@@ -276,7 +277,7 @@ _STILL_FOUND = """, pg AS (SELECT chunk_id FROM held WHERE engine = 'pgvector'),
  SELECT k, mode, count(*) n_targets, sum((coalesce(a, 999) <= k)::INT)::BIGINT n_found FROM long, (VALUES (5), (10)) ks(k) GROUP BY ALL"""
 
 _SELECTS = {
-    "deleted_retrievable": _STILL_FOUND.format(wanted="SELECT * FROM targets"),
+    "deleted_retrievable": _STILL_FOUND.format(wanted="SELECT doc_id, last_chunked_version_id FROM targets"),
     "erased_retrievable": _STILL_FOUND.format(
         wanted=f"SELECT l.* FROM last_chunked l JOIN (SELECT doc_id FROM docs WHERE is_synthetic_pii = 1 ORDER BY sha256('pii-erasure-2.3:' || doc_id) LIMIT {ERASED}) USING (doc_id)"
     ),
@@ -284,7 +285,7 @@ _SELECTS = {
     "versions_numbered": """SELECT *, row_number() OVER (ORDER BY doc_id, commit_sha, content_sha256, action) dense_id
         FROM (SELECT DISTINCT doc_id, commit_sha, content_sha256, action FROM vers)""",
     "latest_index_events": """SELECT engine, chunk_id, max(event_id) event_id, arg_max(op, event_id) op, arg_max(struct_pack(e := expected_present), event_id).e expected_present,
-        arg_max(commit_sha, event_id) commit_sha FROM ev GROUP BY engine, chunk_id""",
+        arg_max(commit_sha, event_id) commit_sha, strftime(arg_max(struct_pack(a := applied_at), event_id).a, '%Y-%m-%d %H:%M:%S') applied_at FROM ev GROUP BY engine, chunk_id""",
     "near_duplicate_chunks": f""", pg AS (SELECT chunk_id FROM held WHERE engine = 'pgvector'),
         v AS (SELECT chunk_id, arg_max(struct_pack(e := embedding), row_seq).e::DOUBLE[] e FROM chunk_vectors SEMI JOIN pg USING (chunk_id) GROUP BY chunk_id),
         u AS (SELECT * FROM v WHERE len(e) = 64 AND list_max(list_transform(e, lambda x: abs(x))) > 0),

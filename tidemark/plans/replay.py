@@ -1,7 +1,7 @@
 """Replay queries: the events table read as a change log on the pages of the corpus.
 
 A user is a document, all live at the start. Errors delete it, purchases rename it to the user seven further on, sign-ups add it,
-all else updates it; props.k and the user choose the page that is the new content, and its paragraphs are the chunks.
+all else updates it; props.k and the user choose the page that is the new content. The log is written as status lines and classified from them.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import text
 from tidemark.operators import replay
 from tidemark.operators.ordering import dense_ids
-from tidemark.plans.corpus import _BODY, _WS, cleaned
+from tidemark.operators.chunker import chunk
+from tidemark.plans.corpus import _BODY, _UNITS, bodies
 from tidemark.session import cut_lineage, table
 
 ERASED = 20
@@ -27,32 +28,45 @@ class Log:
     spark: SparkSession
     sf_dir: str
 
+    @cached_property
+    def numbers(self) -> DataFrame:
+        """(doc_id, content_key): ids are sorted, not texts."""
+        return dense_ids(table(self.spark, self.sf_dir, "documents").select("doc_id"), ["doc_id"], "content_key", start=0)
+
+    @cached_property
+    def stubs(self) -> DataFrame:
+        """(content_key, is_stub), all that the walk asks of the pages."""
+        return self.numbers.join(bodies(self.spark, self.sf_dir).select("doc_id", text.is_stub(F.col("body")).alias("is_stub")), "doc_id").select("content_key", "is_stub")
+
     @cached_property
     def contents(self) -> DataFrame:
-        chunks = F.transform(text.paragraphs(F.col("body")), lambda p, i: F.struct(i.alias("ordinal"), F.sha2(p, 256).alias("text_sha256")))
-        pages = cleaned(self.spark, self.sf_dir).select(
-            "doc_id", text.is_stub(F.col("body")).alias("is_stub"), F.sha2("body", 256).alias("content_sha256"), chunks.alias("chunks")
-        )
-        numbers = dense_ids(pages.select("doc_id"), ["doc_id"], "content_key", start=0)  # ids are sorted, not texts
-        return pages.join(numbers, "doc_id").drop("doc_id")
+        """(content_key, content_sha256)."""
+        return self.numbers.join(bodies(self.spark, self.sf_dir).select("doc_id", F.sha2("body", 256).alias("content_sha256")), "doc_id").drop("doc_id")
+
+    @cached_property
+    def parts(self) -> DataFrame:
+        """(content_key, ordinal, text_sha256): the pages' chunks."""
+        return self.numbers.join(chunk(bodies(self.spark, self.sf_dir), "doc_id", "body").select("doc_id", "ordinal", "text_sha256"), "doc_id").drop("doc_id")
 
     @cached_property
     def changes(self) -> DataFrame:
         events = table(self.spark, self.sf_dir, "events")
         pages = table(self.spark, self.sf_dir, "documents").count()
         users = (events.agg(F.max("user_id")).first()[0] or 0) + 1
-        doc = lambda c: F.format_string("u%06d", c)
-        kind = F.col("event_type")
-        action = F.when(kind == "error", "delete").when(kind == "purchase", "rename").when(kind == "signup", "add").otherwise("update")
+        path = lambda c: F.format_string("content/handbook/u%06d.md", c)
+        kind, own = F.col("event_type"), path(F.col("user_id"))
+        status = F.when(kind == "error", "D").when(kind == "purchase", "R100").when(kind == "signup", "A").otherwise("M")
+        line = F.concat_ws("\t", status, own, F.when(kind == "purchase", path((F.col("user_id") + 7) % users)))
         k = F.get_json_object("props", "$.k").cast("bigint")
-        return events.select(
+        lines = events.select("event_id", "ts", line.alias("line"), ((F.col("user_id") + k) % max(1, pages)).alias("content_key"))
+        return replay.parse_name_status(lines).select(
             F.col("event_id").alias("seq"),
             F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("commit_sha"),
             "ts",
-            action.alias("action"),
-            F.when(kind != "signup", doc(F.col("user_id"))).alias("old_doc"),
-            F.when(kind == "purchase", doc((F.col("user_id") + 7) % users)).when(kind != "error", doc(F.col("user_id"))).alias("new_doc"),
-            ((F.col("user_id") + k) % max(1, pages)).alias("content_key"),
+            "action",
+            text.doc_id_of(F.col("old_path")).alias("old_doc"),
+            text.doc_id_of(F.col("new_path")).alias("new_doc"),
+            "content_key",
         )
 
     @cached_property
@@ -75,7 +89,7 @@ class Log:
 
     @cached_property
     def steps(self) -> DataFrame:
-        return cut_lineage(replay.walk(self.t0, self.changes, self.contents, self.midpoint, self.erased))
+        return cut_lineage(replay.walk(self.t0, self.changes, self.stubs, self.midpoint, self.erased))
 
     @cached_property
     def versions(self) -> DataFrame:
@@ -83,7 +97,7 @@ class Log:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return replay.minted_chunks(self.versions, self.contents)
+        return cut_lineage(replay.minted_chunks(self.versions, self.parts))
 
 
 def change_classify(spark, sf_dir):
@@ -121,6 +135,19 @@ def reingest_duplicates(spark, sf_dir):
     return again.join(log.chunks, ["doc", "made"]).groupBy("doc").agg(F.count("*").alias("n_chunks"))
 
 
+def reingest_mapping(spark, sf_dir):
+    """Each chunk made again with the chunk, of the version before, that it repeats."""
+    log = Log(spark, sf_dir)
+    return replay.reingest_sources(log.steps, log.chunks)
+
+
+def upsert_vectors_used(spark, sf_dir):
+    """Each upserted chunk with the chunk whose vector it takes: its own, or, where it was ingested again, the repeated one's."""
+    log = Log(spark, sf_dir)
+    ops = replay.engine_ops(log.steps, log.chunks)
+    return replay.vectors_of_upserts(ops, replay.reingest_sources(log.steps, log.chunks))
+
+
 def index_events_log(spark, sf_dir):
     log = Log(spark, sf_dir)
     return replay.event_log(replay.engine_ops(log.steps, log.chunks))
@@ -135,7 +162,7 @@ def replay_conservation(spark, sf_dir):
     return each.withColumn("n_live", F.col("n_upsert") - F.col("n_delete"))
 
 
-NAMES = (change_classify, midpoint_commit, erasure_commit, walk_liveness, walk_counters, replay_status, replay_versions, reingest_duplicates, index_events_log, replay_conservation)
+NAMES = (change_classify, midpoint_commit, erasure_commit, walk_liveness, walk_counters, replay_status, replay_versions, reingest_duplicates, reingest_mapping, upsert_vectors_used, index_events_log, replay_conservation)
 QUERIES = {q.__name__: q for q in NAMES}
 
 _B = "('0x' || substr({h}, {a}, {n}))::BIGINT % 100"
@@ -147,10 +174,10 @@ def _bucket(salt: str) -> str:
     return f"(({_B.format(h=h, a=50, n=15)} + 76 * ({' + '.join(parts)})) % 100)"
 
 
-_LOG = _BODY + rf""",
+_LOG = _BODY + _UNITS + rf""",
  nd AS (SELECT count(*) d FROM documents), nu AS (SELECT max(user_id) + 1 u FROM events),
- contents AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 content_key, n_words < 30 is_stub, sha256(body) content_sha256,
-     list_filter(string_split_regex(body, '\n\s*\n'), lambda p: length(regexp_replace(p, '{_WS}', '', 'g')) > 0) ps FROM cleaned),
+ contents AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 content_key, n_words < 30 is_stub, sha256(body) content_sha256, coalesce(n_chunks, 0) n_chunks
+     FROM cleaned LEFT JOIN (SELECT doc_id, count(*) n_chunks FROM win GROUP BY doc_id) USING (doc_id)),
  changes AS (SELECT event_id seq, 'c' || event_id commit_sha, ts,
      CASE event_type WHEN 'error' THEN 'delete' WHEN 'purchase' THEN 'rename' WHEN 'signup' THEN 'add' ELSE 'update' END AS action,
      CASE WHEN event_type <> 'signup' THEN printf('u%06d', user_id) END old_doc,
@@ -194,8 +221,8 @@ _LOG = _BODY + rf""",
      CASE WHEN outcome = 'delete' THEN 'delete' WHEN outcome IN ('rename_buggy', 'rename_correct', 'rename_in') THEN 'rename'
           WHEN outcome IN ('update_buggy', 'update_correct') THEN 'update' ELSE 'add' END AS action
      FROM steps s LEFT JOIN contents USING (content_key) WHERE made IS NOT NULL OR outcome IN ('delete', 'rename_buggy', 'rename_correct')),
- parts AS (SELECT doc, version_id, made, unnest(range(0, len(ps))) ordinal FROM numbered JOIN contents USING (content_key) WHERE made IS NOT NULL),
- chks AS (SELECT doc, made, printf('%s::v%d::%04d', doc, version_id, ordinal) chunk_id FROM parts),
+ parts AS (SELECT doc, version_id, made, unnest(range(0, n_chunks)) ordinal FROM numbered JOIN contents USING (content_key) WHERE made IS NOT NULL),
+ chks AS (SELECT doc, made, ordinal, printf('%s::v%d::%04d', doc, version_id, ordinal) chunk_id FROM parts),
  ops AS (SELECT seq, phase, 'upsert' op, chunk_id, 1 expected_present FROM steps JOIN chks USING (doc, made)
      UNION ALL SELECT seq, phase, CASE WHEN outcome IN ('update_buggy', 'rename_buggy') THEN 'skip' ELSE 'delete' END, chunk_id, 0
      FROM steps s JOIN chks c ON c.doc = s.doc AND c.made = s.old
@@ -213,6 +240,10 @@ _SELECTS = {
         WHEN outcome <> 'rename_degraded_to_add' THEN 'live' END st FROM steps) WHERE st IS NOT NULL GROUP BY doc""",
     "replay_versions": "SELECT version_id, doc, commit_sha, content_sha256, action FROM numbered",
     "reingest_duplicates": "SELECT doc, count(*) n_chunks FROM steps JOIN chks USING (doc, made) WHERE outcome = 'reingest' GROUP BY doc",
+    "reingest_mapping": """SELECT n.chunk_id, o.chunk_id source_chunk_id FROM steps s JOIN chks n ON n.doc = s.doc AND n.made = s.made JOIN chks o ON o.doc = s.doc AND o.made = s.old AND o.ordinal = n.ordinal
+        WHERE outcome = 'reingest'""",
+    "upsert_vectors_used": """SELECT ops.chunk_id, coalesce(o.chunk_id, ops.chunk_id) vector_id FROM ops LEFT JOIN (steps s JOIN chks n ON n.doc = s.doc AND n.made = s.made AND outcome = 'reingest'
+        JOIN chks o ON o.doc = s.doc AND o.made = s.old AND o.ordinal = n.ordinal) ON n.chunk_id = ops.chunk_id WHERE op = 'upsert'""",
     "index_events_log": """SELECT row_number() OVER (ORDER BY r, k, seq, phase, chunk_id) event_id, engine, chunk_id, op, expected_present
         FROM (SELECT *, CASE op WHEN 'upsert' THEN 0 WHEN 'delete' THEN 1 ELSE 2 END k FROM ops), (VALUES (0, 'pgvector'), (1, 'qdrant'), (2, 'chroma')) e(r, engine)""",
     "replay_conservation": """SELECT count(*) FILTER (WHERE op = 'upsert') n_upsert, count(*) FILTER (WHERE op = 'delete') n_delete, count(*) FILTER (WHERE op = 'skip') n_skip,

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import neutral, ntz_text
-from tidemark.operators import audit, ledger, store
+from tidemark.operators import audit, ledger, overlay, store
 from tidemark.operators.changefeed import counted_deliveries
 from tidemark.operators.knn import exact_top_k, with_empty
 from tidemark.operators.ordering import dense_ids
@@ -19,6 +21,7 @@ BASELINE_FROM = "2024-03-01"
 FIRST_COMMITS = 50
 TWENTIETH = "(row_seq div 2) % 20 = 0"
 HITS = 10
+STAFF = 100
 
 
 def _stored(spark, sf_dir: str) -> DataFrame:
@@ -164,9 +167,20 @@ def hit_lists_of_stored(spark, sf_dir):
     return lists.select("query_id", F.size("hits").alias("n_hits"), F.get("hits", F.lit(0))["match_id"].alias("first_match"))
 
 
+def pii_migration(spark, sf_dir):
+    """The ledger's tables once the first synthetic document has given way to a made-up staff directory: rows of each, and those of the directory."""
+    t = Tables(spark, sf_dir)
+    legacy = t.documents.where("is_synthetic_pii = 1").agg(F.min("doc_id")).first()[0]
+    pages = overlay.profile_pages(overlay.employees(spark, STAFF))
+    out = overlay.migrate(t.documents, t.versions, t.chunks, t.events, legacy, pages, "overlay")
+    key = {"index_events": "chunk_id"}
+    count = lambda name, df: df.agg(F.count("*").alias("n_rows"), F.count(F.when(F.col(key.get(name, "doc_id")).startswith(overlay.FOLDER), 1)).alias("n_staff")).select(F.lit(name).alias("table_name"), "n_rows", "n_staff")
+    return reduce(DataFrame.unionByName, [count(name, df) for name, df in out.items()])
+
+
 NAMES = (
     point_lookup, vectors_upserted, vectors_deleted, delete_fan_out, shard_layout, shards_merged, storage_per_vector, erasure_presence, max_versions, chunk_places,
-    audit_percentages, check_precision_recall, baseline_commit, baseline_documents, first_commit_versions, hit_lists_of_stored,
+    audit_percentages, check_precision_recall, baseline_commit, baseline_documents, first_commit_versions, hit_lists_of_stored, pii_migration,
 )
 QUERIES = {q.__name__: q for q in NAMES}
 
@@ -178,6 +192,7 @@ _MORE = f""",
  commits AS (SELECT commit_sha, min(commit_date) commit_date FROM doc_versions WHERE commit_date IS NOT NULL GROUP BY commit_sha),
  base AS (SELECT * FROM commits WHERE commit_date >= TIMESTAMP '{BASELINE_FROM}' ORDER BY commit_date, commit_sha LIMIT 1),
  requests AS (SELECT doc_id FROM docs WHERE is_synthetic_pii = 1 ORDER BY sha256('pii-erasure-2.3:' || doc_id) LIMIT {ERASED}),
+ legacy AS (SELECT min(doc_id) doc_id FROM docs WHERE is_synthetic_pii = 1),
  pg AS (SELECT s.* FROM store s SEMI JOIN (SELECT chunk_id FROM held WHERE engine = 'pgvector') USING (chunk_id)),
  said AS (SELECT chunk_id, coalesce(w.v < max(w.v) OVER (PARTITION BY w.d), false) AND w.d IS NOT NULL stale,
      w.d IS NULL OR w.d NOT IN (SELECT doc_id FROM docs WHERE status = 'live') dead, chunk_id <> min(chunk_id) OVER (PARTITION BY w.e) dup FROM pg),
@@ -211,6 +226,10 @@ _SELECTS = {
     "baseline_documents": """SELECT d.doc_id, d.status, v.version_id FROM docs d LEFT JOIN (SELECT doc_id, min(version_id) version_id FROM vers WHERE commit_sha = (SELECT commit_sha FROM base) GROUP BY doc_id) v
         USING (doc_id) WHERE first_seen_commit = (SELECT commit_sha FROM base)""",
     "first_commit_versions": f"""SELECT commit_sha, "action", count(*) n_versions FROM vers SEMI JOIN (SELECT commit_sha FROM commits ORDER BY commit_date, commit_sha LIMIT {FIRST_COMMITS}) USING (commit_sha) GROUP BY ALL""",
+    "pii_migration": f"""SELECT 'documents' table_name, count(*) + {STAFF} n_rows, {STAFF}::BIGINT n_staff FROM docs WHERE doc_id NOT IN (FROM legacy)
+        UNION ALL SELECT 'doc_versions', count(*) + {STAFF}, {STAFF} FROM vers WHERE doc_id IS NULL OR doc_id NOT IN (FROM legacy)
+        UNION ALL SELECT 'chunks', count(*) + {STAFF}, {STAFF} FROM chks WHERE doc_id IS NULL OR doc_id NOT IN (FROM legacy)
+        UNION ALL SELECT 'index_events', count(*) + {3 * STAFF}, {3 * STAFF} FROM index_events WHERE chunk_id IS NULL OR chunk_id NOT IN (SELECT chunk_id FROM chks WHERE doc_id IN (FROM legacy))""",
     "hit_lists_of_stored": f""", v AS (SELECT row_seq, embedding::DOUBLE[] e FROM chunk_vectors WHERE len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
         hits AS (SELECT q.row_seq q, r.row_seq m, row_number() OVER (PARTITION BY q.row_seq ORDER BY round(list_cosine_similarity(q.e, r.e), 6) DESC, r.row_seq) k FROM v q, v r WHERE (q.row_seq // 2) % 20 = 0 AND q.row_seq <> r.row_seq)
         SELECT row_seq query_id, count(m)::INT n_hits, arg_min(m, k) first_match FROM (SELECT row_seq FROM chunk_vectors WHERE (row_seq // 2) % 20 = 0) LEFT JOIN (SELECT * FROM hits WHERE k <= {HITS}) ON q = row_seq GROUP BY row_seq""",

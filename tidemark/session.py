@@ -6,7 +6,8 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def computed_once(df: DataFrame, **values: Column) -> DataFrame:
+    """df with more columns, each computed once a row however often it is used later.
+
+    They pass through a generator of one row, below which no filter is pushed and into which no later expression is merged.
+    """
+    made = F.explode(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))).alias("_once")
+    return df.select(*[c for c in df.columns if c not in values], made).select("*", "_once.*").drop("_once")
+
+
 _SHIPPED: set[str] = set()
 
 
