@@ -11,7 +11,7 @@ from tidemark.operators.chunker import chunk
 from tidemark.operators.embed import embed_by_hash
 from tidemark.operators.knn import exact_top_k, with_empty
 from tidemark.operators.ledger import hash_ranked
-from tidemark.session import computed_once, table
+from tidemark.session import computed_once, table, texts
 
 K = 10
 #: Numbers of a stored vector.
@@ -25,14 +25,14 @@ TWENTIETH = f"(id div 2) % {EVERY} = 0"
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with their titles and cleaned bodies; the title is only made if asked for."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "path")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text", "path")
     path = F.coalesce("path", F.concat(F.lit("page-"), F.col("doc_id").cast("string")))
     return docs.select("doc_id", text.title_of(text.universal_newlines(F.col("text")), F.concat(path, F.lit(".md"))).alias("title"), text.clean_body(F.col("text")).alias("body"))
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, body), each page cleaned once, whatever is then asked of the body."""
-    return computed_once(table(spark, sf_dir, "documents").select("doc_id", "text"), body=text.clean_body(F.col("text"))).drop("text")
+    return computed_once(texts(spark, sf_dir, "documents").select("doc_id", "text"), body=text.clean_body(F.col("text"))).drop("text")
 
 
 def clean_documents(spark, sf_dir):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
@@ -17,12 +17,18 @@ from tidemark.operators import replay
 from tidemark.operators.ordering import dense_ids
 from tidemark.operators.chunker import chunk
 from tidemark.plans.corpus import _BODY, _UNITS, bodies
-from tidemark.session import cut_lineage, table
+from tidemark.session import cut_lineage, table, texts
 
 ERASED = 20
 ERASED_AFTER = 0.9
 
 
+def user_doc(user: Column) -> Column:
+    """A user's document: the number with at least six digits."""
+    digits = user.cast("string")
+    return F.concat(F.lit("u"), F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0")))
+
+
 @dataclass
 class Log:
     spark: SparkSession
@@ -36,7 +42,8 @@ class Log:
     @cached_property
     def stubs(self) -> DataFrame:
         """(content_key, is_stub), all that the walk asks of the pages."""
-        return self.numbers.join(bodies(self.spark, self.sf_dir).select("doc_id", text.is_stub(F.col("body")).alias("is_stub")), "doc_id").select("content_key", "is_stub")
+        flags = bodies(self.spark, self.sf_dir).select("doc_id", text.is_stub(F.col("body")).alias("is_stub"))
+        return cut_lineage(self.numbers.join(flags, "doc_id").select("content_key", "is_stub"))  # read for the walk and for what is live at its middle
 
     @cached_property
     def contents(self) -> DataFrame:
@@ -50,16 +57,16 @@ class Log:
 
     @cached_property
     def changes(self) -> DataFrame:
-        events = table(self.spark, self.sf_dir, "events")
+        events = texts(self.spark, self.sf_dir, "events")
         pages = table(self.spark, self.sf_dir, "documents").count()
         users = (events.agg(F.max("user_id")).first()[0] or 0) + 1
-        path = lambda c: F.format_string("content/handbook/u%06d.md", c)
+        path = lambda c: F.concat(F.lit("content/handbook/"), user_doc(c), F.lit(".md"))
         kind, own = F.col("event_type"), path(F.col("user_id"))
         status = F.when(kind == "error", "D").when(kind == "purchase", "R100").when(kind == "signup", "A").otherwise("M")
         line = F.concat_ws("\t", status, own, F.when(kind == "purchase", path((F.col("user_id") + 7) % users)))
         k = F.get_json_object("props", "$.k").cast("bigint")
         lines = events.select("event_id", "ts", line.alias("line"), ((F.col("user_id") + k) % max(1, pages)).alias("content_key"))
-        return replay.parse_name_status(lines).select(
+        classified = replay.parse_name_status(lines).select(
             F.col("event_id").alias("seq"),
             F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("commit_sha"),
             "ts",
@@ -68,12 +75,13 @@ class Log:
             text.doc_id_of(F.col("new_path")).alias("new_doc"),
             "content_key",
         )
+        return cut_lineage(classified)
 
     @cached_property
     def t0(self) -> DataFrame:
         pages = table(self.spark, self.sf_dir, "documents").count()
         users = table(self.spark, self.sf_dir, "events").select("user_id").distinct()
-        return users.select(F.format_string("u%06d", "user_id").alias("doc"), (F.col("user_id") % max(1, pages)).alias("content_key"))
+        return users.select(user_doc(F.col("user_id")).alias("doc"), (F.col("user_id") % max(1, pages)).alias("content_key"))
 
     @cached_property
     def midpoint(self) -> DataFrame:
