@@ -11,7 +11,7 @@ from tidemark.llm.packing import pack
 from tidemark.llm.split import split_oversized
 from tidemark.llm.subjects import assign_subjects
 from tidemark.llm.tokens import token_count
-from tidemark.session import cut_lineage, table
+from tidemark.session import cut_lineage, table, texts
 
 CONTAINER = 2048
 NEIGHBOURS = 5
@@ -19,8 +19,8 @@ LEAST_SIMILARITY = 0.85
 
 
 def oversized_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bodies = table(spark, sf_dir, "cleaned_docs").select(F.lit("body").alias("item_kind"), F.col("clean_id").alias("item_id"), F.col("body").alias("text"))
-    spans = table(spark, sf_dir, "chunk_spans").select(F.lit("span").alias("item_kind"), F.col("span_id").alias("item_id"), "text")
+    bodies = texts(spark, sf_dir, "cleaned_docs").select(F.lit("body").alias("item_kind"), F.col("clean_id").alias("item_id"), F.col("body").alias("text"))
+    spans = texts(spark, sf_dir, "chunk_spans").select(F.lit("span").alias("item_kind"), F.col("span_id").alias("item_id"), "text")
     return bodies.unionByName(spans)
 
 
@@ -34,7 +34,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), token_count(F.col("text")).alias("tokens"))
+    sizes = texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), token_count(F.col("text")).alias("tokens"))
     return pack(cut_lineage(sizes), CONTAINER)
 
 
@@ -57,17 +57,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return find_leaks(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
 def p8_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many pages hold how much of each item, in tenths of its passage."""
-    shares = leak_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    shares = leak_shares(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return shares.groupBy("item_id", F.floor(F.col("share") * 10).cast("int").alias("tenths")).agg(F.count("*").alias("n_pages"))
 
 
 def page_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
+    return assign_subjects(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
