@@ -46,6 +46,8 @@ def test_matches_a_plain_walk(spark, common, span):
             rows.append(rows[-1])
     rows += [(None, START, 1, "x", ""), ("e1", None, 1, "x", ""), ("alone", START, None, "x", ""), ("never", START, 1, None, "")]
     assert run(spark, rows, common_snapshots=common, span=span) == model(rows)
+    if not common:  # full spans are parted, of the hot entity as far as hours
+        assert run(spark, rows, span=span, span_rows=3) == model(rows)
 
 
 def test_many_snapshots_in_one_span(spark):

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 #: Snapshots per bitmap word: two bits of a bigint stay free, so that no addition below can overflow.
 BITS = 62
 ALL = (1 << BITS) - 1
+#: Calendar spans, each a part of the one before, and rows of an entity's span beyond which it is parted further.
+SPANS = ("year", "month", "day", "hour", "minute", "second")
+SPAN_ROWS = 1_000_000
 #: Most common snapshots whose numbers are broadcast; more are joined by shuffle.
 MOST_SNAPSHOTS = 1_000_000
 
@@ -27,14 +32,25 @@ def _carried(v: Column, present: Column) -> Column:
     return v.bitwiseOR((absent + first).bitwiseXOR(absent).bitwiseAND(absent))
 
 
-def presence_bitmaps(events: DataFrame, common_snapshots: bool, span: str) -> DataFrame:
+def in_spans(events: DataFrame, span: str, most: int) -> DataFrame:
+    """events with the start of their calendar span; an entity's spans with more rows than ``most`` are parted by the next finer unit, as often as need be."""
+    spanned = events.withColumn("span", F.date_trunc(span, "at"))
+    for finer in SPANS[SPANS.index(span) + 1 :]:
+        full = spanned.groupBy("entity", "span").count().where(F.col("count") > most).select("entity", "span", F.lit(True).alias("_full"))
+        if not full.take(1):
+            break
+        full = F.broadcast(cut_lineage(full))  # one row for each ``most`` rows, at most
+        spanned = spanned.join(full, ["entity", "span"], "left").withColumn("span", F.when(F.col("_full"), F.date_trunc(finer, "at")).otherwise(F.col("span"))).drop("_full")
+    return spanned
+
+
+def presence_bitmaps(spanned: DataFrame, common_snapshots: bool) -> DataFrame:
     """(entity, span, word, value, bits, times): the snapshots of a word at which the entity had the value.
 
     Snapshots are numbered within calendar spans, so that numbering and all later steps of one hot entity
     are spread over its spans. With common_snapshots all entities share one numbering, and an
     entity absent from a snapshot has no bit there; otherwise each entity's own events are its snapshots.
     """
-    spanned = events.withColumn("span", F.date_trunc(span, "at"))
     if common_snapshots:
         known = spanned.select("span", "at").distinct()
         slots = known.withColumn("slot", F.row_number().over(Window.partitionBy("span").orderBy("at")) - 1)
@@ -49,7 +65,7 @@ def presence_bitmaps(events: DataFrame, common_snapshots: bool, span: str) -> Da
     )
 
 
-def attribute_history(events: DataFrame, common_snapshots: bool = False, span: str = "month") -> DataFrame:
+def attribute_history(events: DataFrame, common_snapshots: bool = False, span: str = "month", span_rows: int = SPAN_ROWS) -> DataFrame:
     """Rows (entity, value, valid_from, valid_to): every longest period with one value; valid_to null is open.
 
     events: entity, at (timestamp), rank (orders rows of one instant, the highest counts), value (string;
@@ -57,16 +73,19 @@ def attribute_history(events: DataFrame, common_snapshots: bool = False, span: s
     count once, a value restated changes nothing, and an instant's overruled values last no time
     and so give no period. Nothing comes of empty input; other columns are not used.
 
+    Common snapshots are few and share one numbering, so their spans aren't parted by size.
+
     One hash aggregate makes a bitmap per entity, span and value. Runs of consecutive bits, carried over
     the snapshots from which the entity is absent, are its periods within a word. Per span only the first and
     last runs matter to its neighbours; one row per entity and span settles what continues across the border.
     """
+    known = events.where(F.col("entity").isNotNull() & F.col("at").isNotNull()).select("entity", "at", "rank", "value")
+    known = known.withColumn("span", F.date_trunc(span, "at")) if common_snapshots else in_spans(known, span, span_rows)
     one = (
-        events.where(F.col("entity").isNotNull() & F.col("at").isNotNull())
-        .groupBy("entity", "at")
+        known.groupBy("entity", "at", "span")
         .agg(F.max(F.struct("rank", F.col("value").isNotNull().alias("given"), "value"))["value"].alias("value"))
     )
-    words = presence_bitmaps(one, common_snapshots, span)
+    words = presence_bitmaps(one, common_snapshots)
     present = F.bit_or("bits").over(Window.partitionBy("entity", "span", "word"))
     carried = words.withColumn("run", _carried(F.col("bits"), present))
     starts = F.col("run").bitwiseAND(F.bitwise_not(F.shiftleft("run", 1)))
