@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tidemark.llm.subjects as s
-from tidemark.llm.subjects import assign_subjects, clean_labels, mine_rules, page_lines, transactions
+from tidemark.llm.subjects import assign_subjects, calibrated_evidence, clean_labels, labelled_pages, mine_rules, page_lines, transactions
 
 AREAS = {"law": ["clause", "court order", "licence"], "sport": ["penalty", "corner kick", "goal"], "money": ["invoice", "tax return", "ledger"]}
 PLAIN = ["Please read the whole page.", "No answer is also an answer, e.g. on a holiday.", "The numbers were looked at again."]
@@ -74,7 +74,7 @@ def test_rules_match_counting_by_hand(spark):
     rows, truth = corpus(n=150)
     labels = spark.createDataFrame([(i, t) for i in truth for t in truth[i]], "doc_id bigint, subject string")
     clean = clean_labels(labels, spark.createDataFrame([(t,) for t in AREAS], "subject string"))
-    sentences = transactions(spark.createDataFrame(rows, DOCS), clean)
+    sentences = transactions(labelled_pages(spark.createDataFrame(rows, DOCS), clean))
     data = [(set(r.words), {x.removeprefix(s.LABEL) for x in r.subjects}) for r in sentences.collect()]
     share = {t: sum(t in own for _, own in data) / len(data) for t in AREAS}
     for r in mine_rules(sentences).collect():
@@ -91,6 +91,23 @@ def test_rules_match_counting_by_hand(spark):
                 assert confidence >= of_part + s.GAIN - 0.01 or of_part < s.LIFT * due
 
 
+def test_least_evidence_follows_held_out_labels(spark, monkeypatch):
+    """Where the usual value asks for too much, the labels call for a lower one; where it serves, it stays, even if some labels are wrong."""
+    rows, truth = corpus(n=300)
+    wrong = {i: {"law"} if i % 10 == 0 else t for i, t in truth.items()}
+    labels = spark.createDataFrame([(i, t) for i in truth for t in wrong[i]], "doc_id bigint, subject string")
+    clean = clean_labels(labels, spark.createDataFrame([(t,) for t in AREAS], "subject string"))
+    pages = labelled_pages(spark.createDataFrame(rows, DOCS), clean)
+    held = pages.where("is_held_out")
+    assert 30 <= held.count() <= 90
+    rules = mine_rules(transactions(pages.where("not is_held_out"))).toPandas()
+    book = spark.sparkContext.broadcast(s.RuleBook(rules, sorted(set(rules.subject))))
+    assert calibrated_evidence(held, book, s.SHARE, 0) == s.EVIDENCE
+    assert calibrated_evidence(held.limit(0), book, s.SHARE, 0) == s.EVIDENCE
+    monkeypatch.setattr(s, "EVIDENCE", 50.0)
+    assert calibrated_evidence(held, book, s.SHARE, 0) < 2
+
+
 def test_lines_are_the_sentences(spark):
     text = "---\r\ntitle: t\r\n---\r\n# Head\r\nOne two, e.g. three. Four <b>five</b>! **Six.** Seven?\r\n```\ncode. here\n```\n| 1 | Cell one. |\n- Item no. 7 here.\n{{% alert %}}\nIn it.\n{{% /alert %}}\n"
     got = spark.createDataFrame([(text,)], "t string").select(page_lines(F.col("t")).alias("x")).first().x

@@ -2,7 +2,8 @@
 
 Sentences of labelled pages are transactions of words and their pages' subjects. Rules from words to a subject are
 pruned to those that say more than their own parts, and a sentence is on the subject for which the rules that match
-it give the most evidence. A page has the subjects of at least a quarter of its sentences on any subject.
+it give the most evidence. How much is enough is calibrated on labelled pages held out from mining. A page has the subjects of at least
+a quarter of its sentences on any subject.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +21,9 @@ from tidemark.functions.times import neutral
 from tidemark.llm.words import DROPPED, SLICE, fold_text, hash_words, keep_lines
 from tidemark.session import cut_lineage
 
-#: Labelled pages, at most about so many, from which rules are mined. All pages are scored.
-LABELLED = 4000
+#: Labelled pages, at most about so many, from which rules are mined and, of one in HELD_OUT, the least evidence is calibrated. All pages are scored.
+LABELLED = 5000
+HELD_OUT = 5
 #: Least share of the sentences that hold a rule's words and subject.
 SUPPORT = 0.0002
 LEAST_COUNT = 3
@@ -30,8 +33,9 @@ LIFT = 1.6
 GAIN = 0.04
 #: Sentences by which a rule's confidence is drawn to the subject's share.
 PRIOR_COUNT = 2.0
-#: Least evidence, as a log ratio, for a sentence to be on a subject.
+#: Least evidence, as a log ratio, for a sentence to be on a subject: the usual one, and others that held-out labels may call for.
 EVIDENCE = 1.3
+OTHER_EVIDENCE = (0.7, 0.9, 1.1, 1.5, 1.7, 1.9)
 #: Rounds in which a sentence's evidence is weighed with the rest of its page, and the sentences added to each subject for it.
 ROUNDS = 1
 PAGE_PRIOR = 2.0
@@ -61,15 +65,22 @@ def clean_labels(labels: DataFrame, areas: DataFrame) -> DataFrame:
     return said.join(known, "key").select("doc_id", "subject").distinct()
 
 
-def transactions(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """(doc_id, n, lang, subjects, words): each sentence of the labelled pages with its page's subjects."""
+def labelled_pages(documents: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
+    """(doc_id, lang, lines, subjects, is_held_out) of a sample of the labelled pages."""
     pages = labels.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.concat(F.lit(LABEL), "subject"))).alias("subjects"))
     share = min(1.0, most / max(1, pages.count()))
     picked = pages.where(F.pmod(F.xxhash64("doc_id", F.lit("rules")), F.lit(1 << 20)) < int(share * (1 << 20)))
     lang = F.coalesce(F.substring(neutral("lang"), 1, 2), F.lit("?"))
-    lines = documents.join(picked, "doc_id").select("doc_id", "subjects", lang.alias("lang"), F.posexplode(F.split(page_lines(F.col("text")), "\n")).alias("n", "line"))
+    held_out = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0
+    own = documents.join(picked, "doc_id").select("doc_id", lang.alias("lang"), F.coalesce(page_lines(F.col("text")), F.lit("")).alias("lines"), "subjects", held_out.alias("is_held_out"))
+    return cut_lineage(own)  # a bounded sample, read for mining and calibration
+
+
+def transactions(pages: DataFrame) -> DataFrame:
+    """(doc_id, n, lang, subjects, words): each sentence of labelled pages with its page's subjects."""
+    lines = pages.select("doc_id", "subjects", "lang", F.posexplode(F.split("lines", "\n")).alias("n", "line"))
     items = lines.withColumn("words", words_of(F.col("line"))).where(F.size("words") > 2)
-    return cut_lineage(items.select("doc_id", "n", "lang", "subjects", "words"))  # a bounded sample, read many times
+    return cut_lineage(items.select("doc_id", "n", "lang", "subjects", "words"))  # read many times
 
 
 def expected_shares(sentences: DataFrame) -> DataFrame:
@@ -91,8 +102,8 @@ def telling_words(sentences: DataFrame, least: int) -> DataFrame:
     A subject's expected share is that in the languages of the word's sentences, so that the common words of a
     language in which one subject prevails don't speak for it. Of words that always occur together one stands for all.
     """
-    each = sentences.select(F.explode("words").alias("word"), "subjects", "lang", F.struct("doc_id", "n").alias("at"))
-    n_word = each.groupBy("word").agg(F.count("*").alias("n_word"), F.min("at").alias("first"), F.max("at").alias("last")).where(F.col("n_word") >= least)
+    each = sentences.select(F.explode("words").alias("word"), "subjects", "lang", F.xxhash64("doc_id", "n").alias("at"))
+    n_word = each.groupBy("word").agg(F.count("*").alias("n_word"), F.bit_xor("at").alias("places")).where(F.col("n_word") >= least)
     shares = expected_shares(sentences)
     by_lang = each.groupBy("word", "lang").agg(F.count("*").alias("m")).join(n_word.select("word", "n_word"), "word")
     due = by_lang.join(F.broadcast(shares), "lang").groupBy("word", "s").agg((F.sum(F.col("m") * F.col("share")) / F.max("n_word")).alias("expected"))
@@ -101,8 +112,8 @@ def telling_words(sentences: DataFrame, least: int) -> DataFrame:
     chance = F.col("n_word") * F.col("expected")
     clear = (F.col("both") >= LIFT * chance) & (F.col("both") - chance >= 2 * F.sqrt(chance)) & (F.col("both") >= LEAST_COUNT)
     known = joined.withColumn("clear", clear)
-    one = known.where("clear").groupBy("word").agg(F.first("n_word").alias("n_word"), F.first("first").alias("first"), F.first("last").alias("last"))
-    one = one.groupBy("n_word", "first", "last").agg(F.min("word").alias("word")).select("word")
+    one = known.where("clear").groupBy("word").agg(F.first("n_word").alias("n_word"), F.first("places").alias("places"))
+    one = one.groupBy("n_word", "places").agg(F.min("word").alias("word")).select("word")
     return known.join(one, "word", "left_semi").select("word", "s", "expected")
 
 
@@ -184,9 +195,9 @@ class RuleBook:
         return out
 
 
-def page_counts(book: RuleBook, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(sentences on each subject, evidence in all) of each page, given as lines."""
-    counts, sums, held, size = [], [], [], 0
+def page_counts(book: RuleBook, texts: list[str], least: tuple[float, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(for each least evidence the sentences on each subject, evidence in all) of each page, given as lines."""
+    counts, sums, held, size = [[] for _ in least], [], [], 0
 
     def settle() -> None:
         buffer = b"\n".join(held)
@@ -195,17 +206,18 @@ def page_counts(book: RuleBook, texts: list[str]) -> tuple[np.ndarray, np.ndarra
         line = np.searchsorted(ends, start)
         page_of_line = np.searchsorted(np.cumsum([len(b) + 1 for b in held]), np.concatenate(([0], ends + 1)), "right")
         e = book.evidence(line, words, len(ends) + 1)
-        on = e.max(1) >= EVIDENCE
-        page, e_on = page_of_line[on], e[on]
-        chosen = e_on.argmax(1)
-        for _ in range(1 + ROUNDS):
-            n = np.zeros((len(held), len(book.subjects)))
-            np.add.at(n, (page, chosen), 1)
-            prior = np.log((n + PAGE_PRIOR) / (n.sum(1, keepdims=True) + PAGE_PRIOR * n.shape[1]))
-            chosen = np.where(e_on > 0, e_on + prior[page], -np.inf).argmax(1)
-        s = np.zeros_like(n)
+        for enough, out in zip(least, counts, strict=True):
+            on = e.max(1) >= enough
+            page, e_on = page_of_line[on], e[on]
+            chosen = e_on.argmax(1)
+            for _ in range(1 + ROUNDS):
+                n = np.zeros((len(held), len(book.subjects)))
+                np.add.at(n, (page, chosen), 1)
+                prior = np.log((n + PAGE_PRIOR) / (n.sum(1, keepdims=True) + PAGE_PRIOR * n.shape[1]))
+                chosen = np.where(e_on > 0, e_on + prior[page], -np.inf).argmax(1)
+            out.append(n)
+        s = np.zeros((len(held), len(book.subjects)))
         np.add.at(s, page_of_line, e)
-        counts.append(n)
         sums.append(s)
 
     for t in texts:
@@ -217,7 +229,41 @@ def page_counts(book: RuleBook, texts: list[str]) -> tuple[np.ndarray, np.ndarra
     if held:
         settle()
     empty = np.zeros((0, len(book.subjects)))
-    return np.concatenate(counts or [empty]), np.concatenate(sums or [empty])
+    return [np.concatenate(c or [empty]) for c in counts], np.concatenate(sums or [empty])
+
+
+def chosen_subjects(n: np.ndarray, evidence: np.ndarray, share: float, usual: int) -> np.ndarray:
+    """Which subjects each page has: those with the share of its sentences on any, else the one with the most sentences, the most evidence, or the usual one."""
+    chosen = n / np.maximum(n.sum(1), 1)[:, None] >= share
+    lost = np.flatnonzero(~chosen.any(1))
+    best = np.where(n[lost].any(1), n[lost].argmax(1), evidence[lost].argmax(1))
+    best[~n[lost].any(1) & ~evidence[lost].any(1)] = usual
+    chosen[lost, best] = True
+    return chosen
+
+
+def calibrated_evidence(held_out: DataFrame, book: Broadcast, share: float, usual: int) -> float:
+    """The least evidence under which most held-out pages get exactly their labelled subjects.
+
+    held_out: lines, subjects (with LABEL in front), a bounded sample. Labels may be wrong, so another value than the usual one is only taken if it
+    is right on clearly more pages than it is wrong on where the two differ: by over two standard errors.
+    """
+    least = (EVIDENCE, *OTHER_EVIDENCE)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = {LABEL + s: i for i, s in enumerate(book.value.subjects)}
+            said = np.zeros((len(pdf), len(at)), bool)
+            for row, own in enumerate(pdf.subjects):
+                said[row, [at[s] for s in own if s in at]] = True
+            n, evidence = page_counts(book.value, pdf.lines.tolist(), least)
+            right = [(chosen_subjects(c, evidence, share, usual) == said).all(1) for c in n]
+            yield pd.DataFrame({"least": least, "gained": [int((r & ~right[0]).sum()) for r in right], "spoilt": [int((right[0] & ~r).sum()) for r in right]})
+
+    sums = held_out.select("lines", "subjects").mapInPandas(compare, "least double, gained bigint, spoilt bigint")
+    rows = sums.groupBy("least").agg(F.sum("gained").alias("gained"), F.sum("spoilt").alias("spoilt")).collect()  # a row per value
+    better = [(r["gained"] - r["spoilt"], -abs(r["least"] - EVIDENCE), r["least"]) for r in rows if r["gained"] - r["spoilt"] > 2 * (r["gained"] + r["spoilt"]) ** 0.5]
+    return max(better)[2] if better else EVIDENCE
 
 
 def assign_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, most_labelled: int = LABELLED, share: float = SHARE) -> DataFrame:
@@ -230,30 +276,30 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, m
     """
     spark = documents.sparkSession
     clean = clean_labels(labels, areas)
-    sentences = transactions(documents.select("doc_id", "text", "lang" if "lang" in documents.columns else F.lit(None).cast("string").alias("lang")), clean, most_labelled)
+    lang = "lang" if "lang" in documents.columns else F.lit(None).cast("string").alias("lang")
+    pages = labelled_pages(documents.select("doc_id", "text", lang), clean, most_labelled)
+    sentences = transactions(pages.where("not is_held_out"))
+    if not sentences.take(1):  # so few labels that all are needed
+        sentences = transactions(pages)
     schema = "doc_id bigint, subject string, sentences int, share double"
     rules = mine_rules(sentences).toPandas() if sentences.take(1) else pd.DataFrame({"words": [], "subject": [], "weight": []})  # bounded by the sample and the support
     if not len(rules):
         return spark.createDataFrame([], schema)
     subjects = sorted(set(rules.subject))
     book = spark.sparkContext.broadcast(RuleBook(rules, subjects))
-    usual = sorted(clean.groupBy("subject").count().collect(), key=lambda r: (-r["count"], r["subject"]))[0]["subject"]
+    most = sorted(clean.groupBy("subject").count().collect(), key=lambda r: (-r["count"], r["subject"]))[0]["subject"]
+    usual = subjects.index(most) if most in subjects else 0
+    enough = calibrated_evidence(pages.where("is_held_out"), book, share, usual)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            n, evidence = page_counts(book.value, pdf.lines.tolist())
-            total = n.sum(1)
-            part = n / np.maximum(total, 1)[:, None]
-            chosen = part >= share
-            lost = np.flatnonzero(~chosen.any(1))
-            best = np.where(n[lost].any(1), n[lost].argmax(1), evidence[lost].argmax(1))
-            best[~n[lost].any(1) & ~evidence[lost].any(1)] = subjects.index(usual) if usual in subjects else 0
-            chosen[lost, best] = True
-            row, s = np.nonzero(chosen)
+            (n,), evidence = page_counts(book.value, pdf.lines.tolist(), (enough,))
+            row, s = np.nonzero(chosen_subjects(n, evidence, share, usual))
+            part = n / np.maximum(n.sum(1), 1)[:, None]
             yield pd.DataFrame(
                 {
                     "doc_id": pdf.doc_id.to_numpy()[row],
-                    "subject": np.array(subjects, object)[s],
+                    "subject": np.array(book.value.subjects, object)[s],
                     "sentences": n[row, s].astype(np.int32),
                     "share": part[row, s],
                 }
