@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 import tidemark.operators.knn as k
-from tidemark.operators.knn import exact_top_k, with_empty
+from tidemark.operators.knn import best_of_each, exact_top_k, with_empty
 
 SCHEMA = "id bigint, embedding array<float>, rank string"
 
@@ -46,3 +46,13 @@ def test_one_length_holds_for_all_batches(spark, dim):
     asked = rows.where("id >= 6")
     hits = {(r.query_id, r.match_id) for r in exact_top_k(asked, rows, 3, False, dim).collect()}
     assert hits == {(9, 0), (9, 4), (9, 9)}
+
+
+def test_best_of_each_settles_ties_by_place():
+    rng = np.random.default_rng(5)
+    for n, k in ((1, 3), (5, 5), (40, 3), (40, 1)):
+        sim = rng.integers(0, 4, (30, n)).astype(float)
+        sim[rng.random(sim.shape) < 0.3] = -np.inf
+        row, col = best_of_each(sim, k)
+        want = [(i, j) for i in range(30) for j in [j for j in np.argsort(-sim[i], kind="stable") if sim[i, j] > -np.inf][:k]]
+        assert list(zip(row.tolist(), col.tolist(), strict=True)) == want

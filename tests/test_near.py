@@ -12,10 +12,11 @@ def frame(spark, vectors):
     return spark.createDataFrame([(i, f"c{i:04d}", None if v is None else [float(z) for z in v], "x", "y") for i, v in enumerate(vectors)], SCHEMA)
 
 
-@pytest.mark.parametrize("cell_rows", [4096, 15])
-def test_every_link_of_every_row_is_counted(spark, monkeypatch, cell_rows):
-    """In one cell and in some 40, across whose borders many pairs lie."""
+@pytest.mark.parametrize(("cell_rows", "full"), [(4096, 1 << 15), (15, 1 << 15), (4096, 150), (15, 12)])
+def test_every_link_of_every_row_is_counted(spark, monkeypatch, cell_rows, full):
+    """In one cell and in some 40, across whose borders many pairs lie, and the same where full cells are parted."""
     monkeypatch.setattr(m, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(m, "FULL_CELL", full)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 64)).repeat(10, axis=0) + 0.11 * rng.normal(size=(600, 64))
     x = np.concatenate([x, x[:30], 3 * x[:5], 0.35 * rng.normal(size=(100, 64)) + 1]).astype(np.float32)

@@ -62,6 +62,13 @@ def title_of(text: Column, path: Column) -> Column:
     return F.coalesce(F.nullif(said, F.lit("")), stem)
 
 
+def front_matter_fields(text: Column) -> Column:
+    """The front matter's plain fields, as an array of (key, value) in order: values without quotes, nested lines and lists left out."""
+    field = r"^([A-Za-z_][A-Za-z0-9_-]*):[ \t]*[\"']?(.*?)[\"']?[ \t]*$"
+    each = F.transform(F.split(front_matter(text), "\n"), lambda x: F.struct(F.regexp_extract(x, field, 1).alias("key"), F.regexp_extract(x, field, 2).alias("value")))
+    return F.filter(each, lambda f: f["key"] != "")
+
+
 def doc_id_of(path: Column, root: str = "content/handbook") -> Column:
     """A document's id: its path below the root, whatever stands before that, without its last suffix."""
     below = F.regexp_replace(path, rf"^(?:.*/)?{root}/", "")

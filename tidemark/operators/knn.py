@@ -33,6 +33,16 @@ def usual_length(rows: DataFrame) -> int:
     return most.dim or 1
 
 
+def best_of_each(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest numbers of each row, of equal ones the first; -inf is none. Only what reaches the k-th number is sorted."""
+    kth = np.partition(sim, sim.shape[1] - k, axis=1)[:, [sim.shape[1] - k]] if sim.shape[1] > k else -np.inf
+    row, col = np.nonzero((sim >= kth) & (sim > -np.inf))
+    order = np.lexsort((col, -sim[row, col], row))
+    row, col = row[order], col[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], col[first]
+
+
 def exact_top_k(queries: DataFrame, rows: DataFrame, k: int, exclude_self: bool = True, dim: int | None = None) -> DataFrame:
     """Rows (query_id, rank, match_id, similarity): the k rows most similar to each query, by cosine.
 
@@ -69,10 +79,8 @@ def exact_top_k(queries: DataFrame, rows: DataFrame, k: int, exclude_self: bool
                     sim = np.round(q[at : at + step] @ x.T, 6)
                     if exclude_self:
                         sim[ids[at : at + step, None] == own[None, :]] = -np.inf
-                    top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                    found = np.take_along_axis(sim, top, 1)
-                    row, col = np.nonzero(found > -np.inf)
-                    yield pd.DataFrame({"query_id": ids[at + row], "match_id": own[top[row, col]], "similarity": found[row, col]})
+                    row, col = best_of_each(sim, k)
+                    yield pd.DataFrame({"query_id": ids[at + row], "match_id": own[col], "similarity": sim[row, col]})
 
         part = rows.where("id is not null").select("id", "embedding").mapInPandas(search, schema)
         best = part if best is None else best.unionByName(part)

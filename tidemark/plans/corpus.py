@@ -67,6 +67,12 @@ def front_matter_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length(text.front_matter(t)).alias("front_chars"), F.length(text.without_front_matter(t)).alias("body_chars"))
 
 
+def front_matter_values(spark, sf_dir):
+    """How often each plain field of the pages' front matter is given, and how many different values it has."""
+    docs = texts(spark, sf_dir, "documents").select(F.explode(text.front_matter_fields(text.universal_newlines(F.col("text")))).alias("f"))
+    return docs.groupBy(F.col("f.key").alias("key")).agg(F.count("*").alias("n"), F.countDistinct("f.value").alias("n_values"), F.max("f.value").alias("greatest"))
+
+
 def html_strip_pages(spark, sf_dir):
     stripped = text.without_markup(F.col("text"))
     return table(spark, sf_dir, "documents").where(stripped != F.col("text")).select("doc_id", F.sha2(stripped, 256).alias("stripped_sha256"))
@@ -177,7 +183,7 @@ def label_similarity(spark, sf_dir):
 
 
 NAMES = (
-    clean_documents, stub_filter, dup_clusters, exact_dup_excess, canonical_documents, front_matter_split, html_strip_pages, hash_bucket, hash_ranked_sample, uuid5_ids,
+    clean_documents, stub_filter, dup_clusters, exact_dup_excess, canonical_documents, front_matter_split, front_matter_values, html_strip_pages, hash_bucket, hash_ranked_sample, uuid5_ids,
     doc_paths, chunk_documents, paragraph_units, knn_topk, knn_exclude_self, knn_hit_lists, near_duplicates, self_match_control, retrievability, superseded_retrievable, embed_pages, vector_codec, label_similarity,
 )
 QUERIES = {q.__name__: q for q in NAMES}
@@ -216,6 +222,9 @@ SQL = {
     "exact_dup_excess": _BODY + "SELECT coalesce(sum(n - 1), 0)::BIGINT excess, count(*) clusters FROM (SELECT count(*) n FROM cleaned GROUP BY body HAVING count(*) > 1)",
     "canonical_documents": _BODY + "SELECT min(doc_id) doc_id, sha256(body) content_sha256 FROM cleaned GROUP BY body",
     "front_matter_split": _BODY + r"SELECT doc_id, length(regexp_extract(t, '(?s)\A---\n(.*?)\n---\n', 1))::INT front_chars, length(regexp_replace(t, '(?s)\A---\n(.*?)\n---\n', ''))::INT body_chars FROM unixed",
+    "front_matter_values": _BODY + r""", lines AS (SELECT unnest(string_split(regexp_extract(t, '(?s)\A---\n(.*?)\n---\n', 1), chr(10))) l FROM unixed),
+        fields AS (SELECT regexp_extract(l, $$^([A-Za-z_][A-Za-z0-9_-]*):[ \t]*["']?(.*?)["']?[ \t]*\z$$, 1) k, regexp_extract(l, $$^([A-Za-z_][A-Za-z0-9_-]*):[ \t]*["']?(.*?)["']?[ \t]*\z$$, 2) v FROM lines)
+        SELECT k AS "key", count(*) n, count(DISTINCT v) n_values, max(v) greatest FROM fields WHERE k <> '' GROUP BY k""",
     "html_strip_pages": r"""SELECT doc_id, sha256(s) stripped_sha256 FROM (SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?s)\{\{[%<]\s*.*?\s*[%>]\}\}', '', 'g'), '<[^>]+>', '', 'g') s
         FROM documents) WHERE s <> text""",
     "hash_bucket": f"SELECT DISTINCT doc_id, ({_BUCKET.format(h="sha256('mode-a-update:' || doc_id)")})::INT update_bucket, ({_BUCKET.format(h="sha256('mode-d-rename:' || doc_id)")})::INT rename_bucket FROM doc_versions",

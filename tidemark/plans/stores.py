@@ -22,6 +22,7 @@ FIRST_COMMITS = 50
 TWENTIETH = "(row_seq div 2) % 20 = 0"
 HITS = 10
 STAFF = 100
+SAMPLED = 200
 
 
 def _stored(spark, sf_dir: str) -> DataFrame:
@@ -167,6 +168,37 @@ def hit_lists_of_stored(spark, sf_dir):
     return lists.select("query_id", F.size("hits").alias("n_hits"), F.get("hits", F.lit(0))["match_id"].alias("first_match"))
 
 
+def live_self_match(spark, sf_dir):
+    """A sample of what the store holds, each searched with its own vector: how many find themselves among the first hits."""
+    held = Tables(spark, sf_dir).held.where(F.col("engine") == STORE).select("chunk_id")
+    rows = _stored(spark, sf_dir).join(held, "chunk_id", "left_semi").select(F.col("chunk_id").alias("id"), "embedding")
+    usable = rows.where((F.size("embedding") == DIM) & F.exists("embedding", lambda x: x != 0))
+    asked = usable.join(F.broadcast(ledger.hash_ranked(usable.select("id"), "id", "self-match", SAMPLED)), "id", "left_semi")  # SAMPLED rows
+    hits = exact_top_k(asked, rows, HITS, exclude_self=False, dim=DIM)
+    return hits.agg(F.countDistinct("query_id").alias("n_queries"), F.count_if(F.col("query_id") == F.col("match_id")).alias("n_found"))
+
+
+def engine_counters(spark, sf_dir):
+    """Per engine: chunks held, those among them that should be gone, and requests that expect absence."""
+    t = Tables(spark, sf_dir)
+    held = t.held.groupBy("engine").agg(F.count("*").alias("n_held"), F.count_if(F.col("expected_present") == 0).alias("n_unexpected"))
+    asked = ledger.erasure_requests(t.documents, ERASED, F.lit("head")).where("expected_absent = 1").groupBy("engine").agg(F.count("*").alias("n_requests"))
+    return held.join(asked, "engine", "left").fillna(0, ["n_requests"])
+
+
+def chunks_inserted(spark, sf_dir):
+    """The known chunks and, of the store's, those that the ledger lacks; a chunk that is there stays as it is."""
+    cols = ["chunk_id", "doc_id", "version_id", "token_count"]
+    return ledger.insert_if_absent(Tables(spark, sf_dir).chunks.select(*cols), _stored(spark, sf_dir).select(*cols), ["chunk_id"])
+
+
+def events_appended(spark, sf_dir):
+    """The upserts that no engine has logged yet, numbered after the last event."""
+    t = Tables(spark, sf_dir)
+    last = t.events.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0]
+    return dense_ids(ledger.missing_events(t.raw("chunks").where("chunk_id is not null"), t.events), ["engine", "chunk_id"], "event_id", last + 1)
+
+
 def pii_migration(spark, sf_dir):
     """The ledger's tables once the first synthetic document has given way to a made-up staff directory: rows of each, and those of the directory."""
     t = Tables(spark, sf_dir)
@@ -180,7 +212,8 @@ def pii_migration(spark, sf_dir):
 
 NAMES = (
     point_lookup, vectors_upserted, vectors_deleted, delete_fan_out, shard_layout, shards_merged, storage_per_vector, erasure_presence, max_versions, chunk_places,
-    audit_percentages, check_precision_recall, baseline_commit, baseline_documents, first_commit_versions, hit_lists_of_stored, pii_migration,
+    audit_percentages, check_precision_recall, baseline_commit, baseline_documents, first_commit_versions, hit_lists_of_stored, live_self_match, engine_counters, chunks_inserted,
+    events_appended, pii_migration,
 )
 QUERIES = {q.__name__: q for q in NAMES}
 
@@ -226,6 +259,14 @@ _SELECTS = {
     "baseline_documents": """SELECT d.doc_id, d.status, v.version_id FROM docs d LEFT JOIN (SELECT doc_id, min(version_id) version_id FROM vers WHERE commit_sha = (SELECT commit_sha FROM base) GROUP BY doc_id) v
         USING (doc_id) WHERE first_seen_commit = (SELECT commit_sha FROM base)""",
     "first_commit_versions": f"""SELECT commit_sha, "action", count(*) n_versions FROM vers SEMI JOIN (SELECT commit_sha FROM commits ORDER BY commit_date, commit_sha LIMIT {FIRST_COMMITS}) USING (commit_sha) GROUP BY ALL""",
+    "live_self_match": f""", v AS (SELECT chunk_id, w.e::DOUBLE[] e FROM pg WHERE len(w.e) = 64 AND list_max(list_transform(w.e, lambda x: abs(x))) > 0),
+        q AS (SELECT * FROM v ORDER BY sha256('self-match:' || chunk_id) LIMIT {SAMPLED}),
+        hits AS (SELECT q.chunk_id q, v.chunk_id m, row_number() OVER (PARTITION BY q.chunk_id ORDER BY round(list_cosine_similarity(q.e, v.e), 6) DESC, v.chunk_id) k FROM q, v)
+        SELECT count(DISTINCT q) n_queries, count(*) FILTER (WHERE q = m) n_found FROM hits WHERE k <= {HITS}""",
+    "engine_counters": "SELECT engine, count(*) n_held, count(*) FILTER (WHERE expected_present = 0) n_unexpected, (SELECT count(*) FROM requests) n_requests FROM held GROUP BY engine",
+    "chunks_inserted": """SELECT chunk_id, doc_id, version_id, token_count FROM chks UNION ALL SELECT chunk_id, w.d, w.v, w.t FROM store WHERE chunk_id NOT IN (SELECT chunk_id FROM chks)""",
+    "events_appended": """SELECT engine, chunk_id, row_number() OVER (ORDER BY engine, chunk_id) + (SELECT coalesce(max(event_id), 0) FROM index_events) event_id FROM (SELECT engine, chunk_id
+        FROM engines, (SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL) EXCEPT SELECT engine, chunk_id FROM index_events WHERE lower(trim(op)) = 'upsert')""",
     "pii_migration": f"""SELECT 'documents' table_name, count(*) + {STAFF} n_rows, {STAFF}::BIGINT n_staff FROM docs WHERE doc_id NOT IN (FROM legacy)
         UNION ALL SELECT 'doc_versions', count(*) + {STAFF}, {STAFF} FROM vers WHERE doc_id IS NULL OR doc_id NOT IN (FROM legacy)
         UNION ALL SELECT 'chunks', count(*) + {STAFF}, {STAFF} FROM chks WHERE doc_id IS NULL OR doc_id NOT IN (FROM legacy)
