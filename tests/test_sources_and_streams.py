@@ -35,11 +35,19 @@ def test_shards_resume_and_later_ones_win(spark, tmp_path):
     assert {r.chunk_id: r.embedding for r in readers.vector_shards(spark, path).collect()} == {"a": [9.0], "bb": [2.0], "ccc": [3.0]}
 
 
+def test_many_shards_with_a_manifest(spark, tmp_path):
+    path, manifest = str(tmp_path / "shards"), str(tmp_path / "manifest")
+    df = lambda n: spark.range(n).select(F.format_string("c%03d", "id").alias("chunk_id"), F.array(F.col("id").cast("float")).alias("embedding"))
+    assert [writers.write_shards(df(n), path, manifest, 10) for n in (25, 25, 32, 0)] == [3, 0, 1, 0]
+    rows = sorted((r.shard, r.n_rows, r.first_id, r.last_id) for r in spark.read.parquet(manifest).collect())
+    assert rows == [(0, 10, "c000", "c009"), (1, 10, "c010", "c019"), (2, 5, "c020", "c024"), (3, 7, "c025", "c031")]
+    assert {r.chunk_id: r.embedding for r in readers.vector_shards(spark, path).collect()} == {f"c{i:03d}": [float(i)] for i in range(32)}
+
+
 def test_append_missing_is_repeatable(spark, tmp_path):
     path = str(tmp_path / "events")
     df = spark.createDataFrame([("a", "x", 1), ("a", "y", 1), ("a", "y", 1)], "engine string, chunk_id string, n int")
-    for _ in range(2):
-        writers.append_missing(df, path, ["engine", "chunk_id"])
+    assert [writers.append_missing(df, path, ["engine", "chunk_id"]).count() for _ in range(2)] == [2, 0]
     assert spark.read.parquet(path).count() == 2
 
 
