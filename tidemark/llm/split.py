@@ -130,7 +130,7 @@ def split_oversized(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
     ranges = cuts.withColumn("prior", F.lag("node").over(order)).withColumn("begin", F.lag("start").over(order)).where("node > 0")
     lists = ranges.groupBy(*ITEM).agg(F.sort_array(F.collect_list(F.struct("node", "prior", "begin"))).alias("cuts"))  # the pieces of one text
     made = (
-        sized.where(F.col("tokens") > limit)
+        one.where(F.length("text") > limit)  # a text has no more tokens than characters; which texts have cuts is known
         .join(lists, list(ITEM))
         .withColumn("parts", spaced_tokens(F.col("text")))
         .withColumn("lead", F.regexp_extract("text", r"^[ \t\r\n]*", 0))
