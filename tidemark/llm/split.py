@@ -90,20 +90,25 @@ def greedy_cuts(table: DataFrame, rounds: int) -> DataFrame:
     """(item, node, start): all nodes that the chain of successors from 0 passes, by squaring the successor table.
 
     After round k the table leads 2^k cuts on, and the first 2^k cuts of every text are known. Both are settled in one
-    self-join and one aggregate: a node that is known to be a cut makes one of the node that it leads to.
+    self-join and one aggregate: a node that is known to be a cut makes one of the node that it leads to. Nodes that are no cut and to
+    which none leads any more can't become one and are left out, so the table soon is hardly more than the cuts.
     """
     state = table.select(*ITEM, "node", "start", "next", (F.col("node") == 0).alias("is_cut"))
-    spot = lambda node, start, to, cut: F.struct(node.alias("node"), start.alias("start"), to.alias("next"), cut.alias("is_cut"))
-    nothing = F.lit(None).cast("int")
-    own = spot(F.col("node"), F.col("start"), F.coalesce("after", "next"), F.col("is_cut"))
-    led_to = F.when(F.col("is_cut"), F.array(spot(F.col("next"), nothing, nothing, F.lit(True)))).otherwise(F.array())
+    nothing, no, yes = F.lit(None).cast("int"), F.lit(False), F.lit(True)
+    spot = lambda node, start, to, cut, led_to: F.struct(node.alias("node"), start.alias("start"), to.alias("next"), cut.alias("is_cut"), led_to.alias("is_led_to"))
+    leap = F.coalesce("after", "next")
+    own = spot(F.col("node"), F.col("start"), leap, F.col("is_cut"), no)
+    cut = F.when(F.col("is_cut"), F.array(spot(F.col("next"), nothing, nothing, yes, yes))).otherwise(F.array())
     for k in range(rounds):
         if k == rounds - 1:  # the table need not lead any farther
-            seen = state.withColumn("after", nothing)
+            spots = state.where("is_cut").withColumn("after", nothing).select(*ITEM, F.explode(F.concat(F.array(own), cut)).alias("s"))
+            starts = state.select(*ITEM, spot(F.col("node"), F.col("start"), F.col("next"), no, no).alias("s"))
+            spots = spots.unionByName(starts)
         else:
             seen = state.join(state.select(*ITEM, F.col("node").alias("next"), F.col("next").alias("after")), [*ITEM, "next"], "left")
-        spots = seen.select(*ITEM, F.explode(F.concat(F.array(own), led_to)).alias("s")).select(*ITEM, "s.*")
-        state = cut_lineage(spots.groupBy(*ITEM, "node").agg(*[F.max(c).alias(c) for c in ("start", "next", "is_cut")]))
+            spots = seen.select(*ITEM, F.explode(F.concat(F.array(own, spot(leap, nothing, nothing, no, yes)), cut)).alias("s"))
+        merged = spots.select(*ITEM, "s.*").groupBy(*ITEM, "node").agg(*[F.max(c).alias(c) for c in ("start", "next", "is_cut", "is_led_to")])
+        state = cut_lineage(merged.where("is_cut or is_led_to").drop("is_led_to"))
     return state.where("is_cut").select(*ITEM, "node", "start")
 
 
